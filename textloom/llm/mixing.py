@@ -38,9 +38,10 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     order = W.orderBy(ratio, F.col("source").asc_nulls_last())
     before = order.rowsBetween(W.unboundedPreceding, -1)
     by = by.select("source", "source_size", "w", ratio.alias("r"), F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("s"), F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("t"), F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)).alias("wr"))
-    # level if exactly the sources before this one are capped; the first not above its own ratio holds
+    # the level if exactly the sources before this one are capped: rises while a source's
+    # own ratio is below it, falls from the first on that is not, so the largest is the level
     by = by.withColumn("x", (F.col("t") * float(share) - F.col("s") * float(cap)) / F.col("wr"))
-    level = F.min(F.when(F.col("x") <= F.col("r"), F.col("x"))).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    level = F.max("x").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return by.withColumn("x", level).select("source", "source_size", F.least(F.col("w") * F.col("x"), F.col("source_size") * float(cap)).alias("target"))
 
 
@@ -101,7 +102,7 @@ r AS (SELECT *, source_size * 2.0::DOUBLE / w AS r FROM s),
 c AS (SELECT *, coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped, sum(source_size) OVER ()::DOUBLE AS t,
              sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr FROM r WINDOW o AS (ORDER BY r, source NULLS LAST)),
 x AS (SELECT *, (t * 1.5::DOUBLE - capped * 2.0::DOUBLE) / wr AS x FROM c),
-g AS (SELECT source, source_size, least(w * (SELECT min(x) FROM x WHERE x <= r), source_size * 2.0::DOUBLE) AS target FROM x),
+g AS (SELECT source, source_size, least(w * (SELECT max(x) FROM x), source_size * 2.0::DOUBLE) AS target FROM x),
 p AS (SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before,
              CASE WHEN g.source_size > 0 THEN floor(floor(target) / g.source_size) ELSE 0 END::BIGINT AS epochs
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)

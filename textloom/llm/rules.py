@@ -123,8 +123,8 @@ OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
-r AS (SELECT rid, count(DISTINCT at) AS n FROM (
-        SELECT rid, unnest([i, i + 1, i + 2]) AS at FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1) GROUP BY rid),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (
+        SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1) GROUP BY rid),
 l AS (SELECT rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
 k AS (SELECT rid, line, len(w) AS n,
         len(list_filter(w, lambda x: regexp_full_match(x, '[|>»•·/-]+'))) AS seps,
