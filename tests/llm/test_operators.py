@@ -1,0 +1,236 @@
+"""Operators over small tables with nulls, empty and long texts, ties, repeated rows, extra columns, no rows."""
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.llm import ann, components, line_dedup, mixing, quality, rules, sentencepieces, simhash, token_counts, token_files, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, pos int, __gone string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    line = "This very line is found on many sites of the net."
+    data = []
+    for k in range(40):
+        text = f"{line}\nOwn words of text number {k} stand here, {'and more of them ' * (k % 5)}to the end.\n{line if k % 7 == 0 else 'Another line.'}"
+        data.append((k, text, "en", f"s{k % 12:02d}", len(text), 1.0, 1, 1, "x"))
+    data += [(40, None, None, "s00", None, None, None, None, None), (41, "", "en", None, 0, None, None, None, None), (42, "word " * 60_000, "de", "s01", 300_000, None, None, None, None)]
+    data += [data[3], (None, "no id here", "en", "s02", 10, None, None, None, None), (43, "\n\n \n", "en", "s03", 4, None, None, None, None), (44, "tab\tand\x0bodd\x0cspaces   kept", "fr", "s04", 20, None, None, None, None)]
+    return spark.createDataFrame(data, DOCS).cache()
+
+
+def got(df, *cols):
+    key = lambda r: tuple((x is None, x) for x in r)
+    return sorted((tuple(r[c] for c in (cols or df.columns)) for r in df.collect()), key=key)
+
+
+def oracle(docs, sql, *cols):
+    documents = docs.select("doc_id", "text", "lang", "source", "n_chars").toArrow()  # noqa: F841
+    r = duckdb.sql(sql)
+    key = lambda r: tuple((x is None, x) for x in r)
+    return sorted((tuple(x[r.columns.index(c)] for c in cols) for x in r.fetchall()), key=key)
+
+
+def test_search(spark):
+    rng = np.random.default_rng(0)
+    data = [(k, rng.normal(size=6).tolist(), 1, "x") for k in range(300)]
+    data += [(1000 + k, data[7][1], 1, "x") for k in range(200)]  # a third of the rows are one vector
+    data += [(900, None, 1, "x"), (950, [0.0] * 6, 1, "x"), (901, [float("nan")] * 6, 1, "x"), (902, [None] + [1.0] * 5, 1, "x"), (None, [1.0] * 6, 1, "x"), (903, [1.0], 1, "x"), (904, [float("inf")] + [1.0] * 5, 1, "x"), (5, data[5][1], 1, "x")]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<double>, ids int, q string")
+    res = {}
+    for r in ann.search(v).collect():
+        res.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ok = {i: np.array(e) for i, e, *_ in data if i is not None and e and len(e) == 6 and None not in e and np.isfinite(e).all() and np.any(e)}
+    assert set(res) == {i for i in ok if i % 50 == 0}
+    hits = 0
+    for q, rows in res.items():
+        rows = sorted(rows)
+        want = sorted(((-float(ann.cosine(ok[q][None], x[None])[0]), i) for i, x in ok.items() if i != q))[:5]
+        assert [r[0] for r in rows] == [1, 2, 3, 4, 5]
+        hits += len({r[1] for r in rows} & {i for _, i in want})
+        assert all(abs(s - float(ann.cosine(ok[q][None], ok[i][None])[0])) < 1e-12 for _, i, s in rows)
+    assert hits >= 0.95 * 5 * len(res)
+    assert ann.search(v.limit(0)).count() == 0
+    assert ann.search(v.where("vec_id in (0, 1)")).count() == 1
+
+
+def test_rules_match_the_sql(docs):
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept")
+    assert got(rules.judge(docs), *cols) == oracle(docs, rules.OP3_SQL, *cols)
+    assert rules.judge(docs.limit(0)).count() == 0
+
+
+def test_token_counts(docs):
+    lib = token_counts._library(token_counts.default_vocabulary())
+    want = sorted(((r.doc_id, len((r.text or "").encode()), len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()), key=lambda r: tuple((x is None, x) for x in r))
+    assert got(token_counts.token_counts(docs), "doc_id", "n_bytes", "n_tokens") == want
+    assert token_counts.token_counts(docs).where("over_limit <> (n_tokens > 512)").count() == 0
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_pieces(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    rows = sentencepieces.encode(docs).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.ids == sp.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id] and r.n_pieces == len(r.ids)
+    assert sentencepieces.encode(docs.limit(0)).count() == 0
+
+
+def test_token_files(spark, docs, tmp_path):
+    import zlib
+
+    shards = token_files.write(docs.repartition(3), f"file://{tmp_path}/ids", shard_size=4_000)
+    assert len(shards) > 2
+    rows = sorted((tuple(r) for r in token_files.read(spark, shards).collect()), key=lambda r: r[1])
+    lib = token_files.encoder(token_files.default_vocabulary()).library
+    want, start = [], 0
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+        ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert rows == want
+    assert sorted(p.name for p in (tmp_path / "ids").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")) == []
+    assert token_files.read(spark, token_files.write(docs.limit(0), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_line_dedup_matches_the_sql(docs):
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    out = line_dedup.dedup_lines(rows)
+    digest = out.select("doc_id", F.col("removed_lines").cast("long"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    known = [r for r in got(digest) if r[0] != 40]
+    assert known == oracle(rows.where("text is not null"), line_dedup.OP6_SQL, "doc_id", "removed_lines", "n_chars", "text_md5")
+    assert sum(r[1] for r in known) > 30 and out.columns == [*rows.columns, "removed_lines"]
+
+
+def test_line_dedup_edges(docs):
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert out[40].text is None and out[41].text == "" and out[None].text == "no id here" and out[43].text == "\n\n \n"
+    assert line_dedup.dedup_lines(docs).count() == docs.count()
+    first = out[0].text.split("\n")[0]
+    assert first.startswith("This very line") and not out[1].text.startswith("This very line")
+    assert out[1].score == 1.0 and out[0].removed_lines == 1  # its second occurrence
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_near_threshold_lines_are_counted_exactly(spark):
+    data = [(k, f"line of exactly {n} sites", f"site{k}") for n in (9, 10, 11) for k in range(n)]
+    d = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(data)], "doc_id long, text string, source string")
+    n = {r[0]: r[1] for r in line_dedup.dedup_lines(d).where("removed_lines > 0").groupBy(F.lit(1)).count().collect()}
+    assert n == {1: 9 + 10}
+
+
+def brute_groups(rows):
+    fps = [simhash.fingerprint(r.text or "") for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                parent[find(i)] = find(j)
+    out = []
+    for i, r in enumerate(rows):
+        ids = [x.doc_id for k, x in enumerate(rows) if find(k) == find(i) and x.doc_id is not None]
+        out.append((r.doc_id, fps[i] - (1 << 64) * (fps[i] >> 63), min(ids, default=None)))
+    return sorted(out, key=lambda r: tuple((x is None, x) for x in r))
+
+
+def test_near_duplicates_match_brute_force(spark, docs):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 4
+    more = [(100 + k, base + " ".join(f"w{j}" for j in range(k)), "en", "s", 1, None, None, None, None) for k in range(12)]
+    rows = docs.union(spark.createDataFrame(more, DOCS))
+    found = simhash.near_duplicates(rows)
+    want = brute_groups(rows.collect())
+    assert got(found) == want
+    assert len({r[2] for r in want if r[0] and r[0] >= 100}) < 12  # some of them link
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(200)] + [(500, 900), (900, 700), (5, 5), (None, 1), (800, None)]
+    e = spark.createDataFrame(chain, "a long, b long").repartition(7)
+    roots = dict(tuple(r) for r in components.components(e).collect())
+    assert roots == {k: 0 for k in range(1, 201)} | {900: 500, 700: 500}
+    assert components.components(e.limit(0)).count() == 0
+
+
+def test_mixing_matches_the_sql_and_its_terms(docs):
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    cols = ("doc_id", "size", "source_size", "target", "taken")
+    mine = got(mixing.mix(rows), *cols)
+    assert mine == oracle(rows, mixing.OP10_SQL, *cols) == got(mixing.mix(rows.repartition(5)), *cols)
+    by = {}
+    for r in mixing.mix(rows).collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        by.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.taken
+    sizes = {s: x[1] for s, x in by.items()}
+    # water filling by rounds, as the terms say
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, open_, want = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * sizes[s]}
+        if not full:
+            want |= {s: weight[s] * level for s in open_}
+            break
+        want |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2.0 * sizes[s] for s in full)
+        open_ -= full
+    for s, (target, _, taken) in by.items():
+        assert target == pytest.approx(want[s], rel=1e-9, abs=1e-6) and abs(taken - target) < 1 + 1e-6
+    assert mixing.mix(docs).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixed_documents_hold_the_taken_words(spark, docs):
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r.doc_id: r.taken for r in mixing.mix(rows).collect() if r.taken}
+    out = mixing.mixed_documents(spark, rows, "")
+    have = {}
+    for r in out.collect():
+        have[r.doc_id] = have.get(r.doc_id, 0) + len(r.text.encode().split())
+    assert have == want and out.columns == rows.columns
+
+
+def test_classifiers_hold_out(spark):
+    import zlib
+
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(300)]
+    data, labels = [], []
+    for k in range(900):
+        text = " ".join(rng.choice(words, 60)) + "."
+        bad, toxic = k % 4 == 0, k % 5 == 0
+        if bad:
+            text = " ".join(f"{w.upper()}!!" for w in text.split())
+        if toxic:
+            text += f" grubber{rng.integers(99)} you grubber{rng.integers(99)}"
+        data.append((k, text, 1, "x"))
+        labels.append((k, int(not bad), int(toxic)))
+    data += [(2000, None, 1, "x"), (2001, "", 1, "x"), (None, "text without an id", 1, "x"), data[1], (2002, "long " * 100_000, 1, "x")]
+    d = spark.createDataFrame(data, "doc_id long, text string, score int, y string")
+    lab = spark.createDataFrame([*labels, (2000, None, None), (None, 1, 1), (2001, 1, 0)], "doc_id long, quality int, toxic int")
+    for f, col, fold in ((quality.classify, 1, (4, 2)), (toxicity.toxicity, 2, (3, 1))):
+        rows = f(d, lab).collect()
+        assert len(rows) == len(data) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1]) for r in rows if r.doc_id is not None)
+        truth = {x[0]: x[col] for x in labels}
+        held = [r.predicted == truth[r.doc_id] for r in rows if r.held_out and r.doc_id in truth]
+        assert np.mean(held) > 0.95
+        # labels of the held-out fold change nothing
+        flipped = lab.withColumn(("quality", "toxic")[col - 1], F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] == fold[1], 1 - F.col(("quality", "toxic")[col - 1])).otherwise(F.col(("quality", "toxic")[col - 1])))
+        assert got(f(d, flipped), "doc_id", "score") == got(f(d, lab), "doc_id", "score")
+        assert f(d.limit(0), lab).count() == 0 and f(d, lab.limit(0)).count() == len(data)

@@ -100,12 +100,18 @@ def label_model(v: np.ndarray, known: np.ndarray, y: np.ndarray, rounds: int = 4
     term is); alternates posteriors and rates. Rows ``known`` count with their label
     ``y`` where rates are estimated, so the classes keep their meaning; every row's
     posterior comes from the votes alone. A voter's log-ratio is divided by one
-    plus its positive residual correlations with the others."""
+    plus the sizes of its residual correlations with the others."""
     n, m = v.shape
     vf = v.astype(np.float64)
     marks = vf[:, :-1].sum(1)
     p = np.clip(np.where(v[:, -1] == 1, 0.01, 0.5 + 0.1 * marks), 0.01, 0.99)
-    weight = np.ones(m)
+    # correlations within a class, where the class is known; those that chance makes are none
+    own = vf[known] - np.where(y[:, None] > 0.5, vf[known][y > 0.5].mean(0) if (y > 0.5).any() else 0, vf[known][y <= 0.5].mean(0) if (y <= 0.5).any() else 0)
+    norm = np.sqrt((own**2).mean(0)) if len(own) else np.ones(m)
+    corr = np.abs(own.T @ own / max(len(own), 1) / np.outer(norm + 1e-9, norm + 1e-9))
+    np.fill_diagonal(corr, 0)
+    corr[corr < max(0.1, 3 / np.sqrt(max(len(own), 1)))] = 0
+    weight = 1 / (1 + corr.sum(1))
     rates = np.zeros((2, m))
     for r in range(rounds):
         t = p.copy()
@@ -113,12 +119,6 @@ def label_model(v: np.ndarray, known: np.ndarray, y: np.ndarray, rounds: int = 4
         for c, q in ((0, 1 - t), (1, t)):
             rates[c] = (q @ vf + 0.05) / (q.sum() + 0.1)
         share = np.clip(t.mean(), 0.001, 0.5)
-        if r % 10 == 0 and r:
-            rest = vf - np.outer(t, rates[1]) - np.outer(1 - t, rates[0])
-            norm = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest.T @ rest) / n / np.outer(norm, norm)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.clip(corr, 0, None).sum(1))
         on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         z = np.log(share / (1 - share)) + (vf * (weight * on) + (1 - vf) * (weight * off)).sum(1)
         new = sigmoid(z)
