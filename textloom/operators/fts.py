@@ -115,12 +115,20 @@ def matching(index: Index, query: str | TermQuery, docs: DataFrame | None = None
         for p in q.phrases:
             keep = keep & text.contains(f" {' '.join(p)} ")
         for a, b, n in q.near:
-            places = [F.filter(F.transform("terms", lambda t, i, w=w: F.when(t == w, i)), lambda i: i.isNotNull()) for w in (a, b)]
-            keep = keep & F.exists(places[0], lambda i, n=n, other=places[1]: F.exists(other, lambda j: F.abs(i - j) <= n + 1))
+            keep = keep & _near(a, b, n)
         ids = held.where(keep).select("id")
     return ids
 
 
+def _near(a: str, b: str, n: int) -> Column:
+    """At most ``n`` other words lie between some occurrence of either."""
+
+    def places(w: str) -> Column:
+        return F.filter(F.transform("terms", lambda t, i: F.when(t == w, i)), lambda i: i.isNotNull())
+
+    return F.exists(places(a), lambda i: F.exists(places(b), lambda j: F.abs(i - j) <= n + 1))
+
+
 def ranked(scores: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     """The k best with their rank from 1, ties to smaller ids. The limit comes first, so
     the ranking window holds k rows."""

@@ -52,7 +52,7 @@ def type_boost(chunk_type: Column, boosts: dict[str, float]) -> Column:
 
 
 def _overlap(theirs: Column, ours: list[str]) -> Column:
-    return F.size(F.array_intersect(F.array(*map(F.lit, ours)), theirs)) if ours else F.lit(0)
+    return F.coalesce(F.size(F.array_intersect(F.array(*map(F.lit, ours)), theirs)), F.lit(0)) if ours else F.lit(0)
 
 
 def name_boost(name: Column, query: str, query_tokens: list[str], exact: float = NAME_EXACT) -> Column:
