@@ -95,3 +95,18 @@ def test_gitignore_last_rule_wins():
     assert ignored("a.log") and ignored("x/a.log") and not ignored("keep.log")
     assert ignored("build/x") and ignored("a/build/x") and not ignored("build")
     assert ignored("top") and not ignored("a/top")
+
+
+def test_tables_of_queries_agree_with_single_ones(spark):
+    from textloom.functions.query import half_up
+    from textloom.operators import queries
+
+    asked = ["auth token", "  Fix the API bug ", "", "zzz", "handle database error in async test", "UserService", "verify token", "get user_id from-db"]
+    df = spark.createDataFrame([(q,) for q in asked], "query string")
+    got = {r["query"]: r for r in queries.expanded(df).collect()}
+    for q in asked:
+        x = expand(q)
+        assert (got[q].expanded, tuple(got[q].terms)) == (x.expanded, x.terms)
+    rows = sorted(tuple(r) for r in queries.intents(df).collect())
+    assert rows == sorted((q, k + 1, m.category, m.confidence) for q in asked for k, m in enumerate(detect(q).matches))
+    assert half_up(0.125) == 0.13

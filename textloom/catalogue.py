@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import query
 from .functions import text as T
-from .operators import chunking, evaluation, fts, fusion, paths, policy, ranking, results, state, vector
+from .operators import chunking, evaluation, fts, fusion, paths, policy, queries, ranking, results, state, vector
 from .streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,21 +384,32 @@ def language_detect(spark, d):
 _ASKED = ["user authentication error", "find database query", "UserService class", "how does async api work", "config settings", "unit test coverage for login", "zzz"]
 
 
-@register()
-def query_expansion(spark, d):
-    rows = [(q, (x := query.expand(q)).expanded, list(x.terms)) for q in _ASKED]
-    return spark.createDataFrame(rows, "query string, expanded string, terms array<string>")
+_ASKED_SQL = "q AS (SELECT unnest({}) AS query)".format(_ASKED)
+_DICT_SQL = "d AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', {t.split()})" for w, t in query.EXPANSIONS.items()) + ") AS v(word, terms))"
+_INTENT_SQL = "k AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {words.lower().split()}, {patterns}, {base}::DOUBLE)" for i, (c, (words, patterns, base)) in enumerate(query.INTENTS.items())) + ") AS v(place, category, keys, patterns, base))"
 
 
-ORACLE_SQL["query_expansion"] = "SELECT unnest({q}) AS query, unnest({e}) AS expanded, unnest({t}) AS terms".format(
-    q=str(_ASKED), e=str([query.expand(q).expanded for q in _ASKED]), t="[" + ", ".join(f"{list(query.expand(q).terms)}::VARCHAR[]" for q in _ASKED) + "]"
-)
+def _queries(spark) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in _ASKED], "query string")
 
 
-@register()
+@register(f"""WITH {_ASKED_SQL}, {_DICT_SQL}, w AS (SELECT query, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT query, string_split_regex(lower(trim(query)), '\\s+') AS ws FROM q)),
+    t AS (SELECT query, ws, i, unnest(terms) AS term, generate_subscripts(terms, 1) AS j FROM w JOIN d USING (word)),
+    f AS (SELECT query, term, min(i * 1000 + j) AS o FROM t WHERE NOT list_contains(ws, term) GROUP BY query, term),
+    r AS (SELECT query, list(term ORDER BY o)[1:10] AS terms FROM f GROUP BY query)
+    SELECT q.query, coalesce(terms, []::VARCHAR[]) AS terms, trim(q.query) || coalesce(' ' || array_to_string(terms, ' '), '') AS expanded FROM q LEFT JOIN r USING (query)""")
+def query_expansion(spark, d):
+    return queries.expanded(_queries(spark))
+
+
+@register(f"""WITH {_ASKED_SQL}, {_INTENT_SQL}, t AS (SELECT query, lower(query) AS low, regexp_extract_all(lower(replace(replace(regexp_replace(query, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ')), '[a-z0-9]+') AS ts FROM q),
+    h AS (SELECT query, place, category, base, len(list_filter(keys, lambda x: list_contains(ts, x) OR regexp_matches(low, '\\b' || x || '\\b'))) AS hits, len(list_filter(patterns, lambda p: regexp_matches(low, p))) > 0 AS matched FROM t, k),
+    c AS (SELECT *, CASE WHEN hits > 1 THEN least(1.0::DOUBLE, base + 0.1::DOUBLE * (hits - 1)) ELSE base END AS sure FROM h WHERE hits > 0 OR matched),
+    e AS (SELECT *, floor(CASE WHEN matched THEN least(1.0::DOUBLE, sure + 0.15::DOUBLE) ELSE sure END * 100 + 0.5) / 100 AS confidence FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, place) AS rank FROM e WHERE confidence >= 0.3)
+    SELECT query, rank::INT AS rank, category, confidence FROM r WHERE rank <= 3""")
 def intent_detect(spark, d):
-    rows = [(q, k + 1, m.category, m.confidence) for q in _ASKED for k, m in enumerate(query.detect(q).matches)]
-    return spark.createDataFrame(rows, "query string, rank int, category string, confidence double")
+    return queries.intents(_queries(spark))
 
 
 # ranking
