@@ -234,3 +234,40 @@ def test_classifiers_hold_out(spark):
         flipped = lab.withColumn(("quality", "toxic")[col - 1], F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] == fold[1], 1 - F.col(("quality", "toxic")[col - 1])).otherwise(F.col(("quality", "toxic")[col - 1])))
         assert got(f(d, flipped), "doc_id", "score") == got(f(d, lab), "doc_id", "score")
         assert f(d.limit(0), lab).count() == 0 and f(d, lab.limit(0)).count() == len(data)
+
+
+def test_near_copies_match_brute_force(spark, docs):
+    import random
+
+    r = random.Random(9)
+    words = [f"word{k}" for k in range(400)]
+    texts = []
+    for base in range(8):
+        own = [r.choice(words) for _ in range(150)]
+        texts.append(own)
+        for edits in (1, 2, 3, 4, 6, 9, 14):
+            copy = list(own)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            texts.append(copy)
+    more = [(200 + k, " ".join(t), "en", "s", 1, None, None, None, None) for k, t in enumerate(texts)]
+    rows = docs.union(spark.createDataFrame(more, DOCS)).where("doc_id is null or doc_id <> 42")
+    got_ = {x.doc_id: x.component_id for x in simhash.near_copies(rows).collect()}
+    known = {x.doc_id: set(simhash.shingle_hashes(x.text or "").tolist()) for x in rows.collect() if x.doc_id is not None}
+    parent = {k: k for k in known}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    links = [(a, b) for a in known for b in known if a < b and (known[a] == known[b] or len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b]))]
+    for a, b in links:
+        lo, hi = sorted((find(a), find(b)))
+        parent[hi] = lo
+    assert set(got_) == set(known)
+    assert all(find(k) == find(c) for k, c in got_.items())  # nothing joined that has no link
+    assert sum(got_[a] == got_[b] for a, b in links) >= 0.97 * len(links)
+    kept = simhash.keep_one(spark, rows, "")
+    assert kept.columns == rows.columns and kept.where("doc_id is null").count() == 1
+    assert simhash.keep_one(spark, docs.limit(0), "").count() == 0

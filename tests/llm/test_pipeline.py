@@ -37,14 +37,14 @@ def test_stages_and_run(spark):
                 want[k] = "\n".join(kept)
             assert {r.doc_id: r.text for r in new} == want and all(r.n_chars == len(r.text) for r in new)
         elif name == "simhash near-dedup":
-            fps = {k: simhash.fingerprint(r.text, 5) for k, r in old.items()}
-            group = {k: k for k in fps}
+            sets = {k: set(simhash.shingle_hashes(r.text).tolist()) for k, r in old.items()}
+            group = {k: k for k in sets}
             changed = True
             while changed:
                 changed = False
-                for a in fps:
-                    for b in fps:
-                        if bin(fps[a] ^ fps[b]).count("1") <= 3 and group[b] < group[a]:
+                for a in sets:
+                    for b in sets:
+                        if group[b] < group[a] and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
                             group[a], changed = group[b], True
             assert sorted(r.doc_id for r in new) == sorted(set(group.values()))
         elif name == "mixing to target weights":
