@@ -84,7 +84,7 @@ def train(rows: DataFrame, bits: int = BITS) -> np.ndarray:
         w = ftrl(x, y[order], 1 << bits, alpha=1.0, l1=0.02, l2=0.0, epochs=2)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["w"])
 
-    got = rows.coalesce(1).mapInArrow(fit, "w binary").first()
+    got = rows.repartition(1).mapInArrow(fit, "w binary").first()
     return np.frombuffer(got["w"], np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 

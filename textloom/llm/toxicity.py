@@ -163,7 +163,7 @@ def train(rows: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
         at = np.union1d(np.flatnonzero(w), [len(w) - 1])
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int64), w[at])], names=["at", "w"])
 
-    got = rows.coalesce(1).mapInArrow(fit, "at binary, w binary").first()
+    got = rows.repartition(1).mapInArrow(fit, "at binary, w binary").first()
     if got is None:
         return np.array([len(LEVELS) << bits]), np.zeros(1)
     return np.frombuffer(got["at"], np.int64), np.frombuffer(got["w"])
