@@ -56,11 +56,13 @@ def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES, lg_k:
     own = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.pos") == F.col("pos")) & (F.col("first.t") == F.col("t"))
     hits = lines.select("k1", "k2", "doc_id", "t", "pos").join(found, ["k1", "k2"]).where(~own)
     gone = hits.groupBy(F.col("doc_id").alias("__d"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__gone"))
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"))
+    # the whole row travels as one column, so none of its names can clash with these
+    keyed = docs.select(F.struct("*").alias("__row"), F.xxhash64("text").alias("__h"))
+    joined = keyed.join(gone, F.col("__row.doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
+    own_text = F.col("__row.text")
+    left = F.filter(F.split(own_text, "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), own_text).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

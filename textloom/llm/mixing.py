@@ -81,14 +81,21 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     takes it, whole but for the one at a budget's edge, cut behind its last taken
     word; documents of no taken word go. Rows of one doc_id are one document here."""
     taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    rows = rows.withColumn("__take", F.explode(F.expr("transform(sequence(1, CAST(ceil(__taken / __size) AS INT)), i -> least(__size, __taken - (i - 1) * __size))")))
-    part = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){', __take - 1, '}[^\\x20\\x09-\\x0D]+'), 0)")
-    text = F.when(F.col("__take") < F.col("__size"), part).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    # the whole row travels as one column, so none of its names can clash with these
+    rows = docs.select(F.struct("*").alias("__row")).join(taken, F.col("__row.doc_id").eqNullSafe(F.col("__id")))
+    takes = F.expr("transform(sequence(1, CAST(ceil(__taken / __size) AS INT)), i -> least(__size, __taken - (i - 1) * __size))")
+    rows = rows.select("__row", "__size", F.explode(takes).alias("__take"))
+    own = F.col("__row.text")
+    # pieces begin with a word, but the first of a text that begins with white space
+    pieces = F.split(own, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    first = F.when(own.rlike(r"\A[\x20\x09-\x0D]"), 1).otherwise(0)
+    part = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (F.col("__take") + first).cast("int")), ""), r"[\x20\x09-\x0D]+\z", "")
+    text = F.when(F.col("__take") < F.col("__size"), part).otherwise(own)
+    out = rows.select("__row", text.alias("__text"))
+    made = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
