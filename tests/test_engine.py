@@ -54,7 +54,16 @@ def test_engine(spark, tree, tmp_path):
     assert counts == {"unchanged": 2, "modified": 1, "removed": 1}
     assert e.search("login").count() == 0 and e.search("signin").first().path == "src/auth.py"
     assert [r.path for r in e.search_docs("user password").collect()] == ["docs/guide.md"]
-    assert e.code.of_path("src/auth.py").count() == 1 and e.code.delete_paths(["src/auth.py"]) == 1 and not e.code.read().count()
+    assert {r.status: r.files for r in e.drift(new).collect()} == {"unchanged": 3}
+    changes = spark.createDataFrame([("docs/guide.md", "delete"), ("src/db.py", "upsert")], "path string, op string")
+    e.apply_changes(changes, lambda paths: files.join(paths, "path", "left_semi"))
+    assert e.search("sql").first().path == "src/db.py" and e.search_docs("guide").count() == 0
+    assert {r.status: r.files for r in e.drift(new).collect()} == {"unchanged": 2, "removed": 1, "added": 1}
+    e.reindex_file(files, "src/auth.py")
+    assert e.search("login").first().path == "src/auth.py"
+    e.reindex_file(new, "src/auth.py")
+    assert e.code.of_path("src/auth.py").count() == 1 and e.code.delete_paths(["src/auth.py"]) == 1
+    assert {r.path for r in e.code.read().collect()} == {".gitignore", "src/db.py"}
     with pytest.raises(ValueError):
         Config(max_file_size="1GB")
 

@@ -32,12 +32,13 @@ class Index:
 
     def write(self, path: str) -> None:
         """Postings partitioned by a hash of the term: a query reads its terms' files."""
-        self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.withColumn("id", F.col("id").cast("string")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
+        postings = "term string, id string, tf long, dl long, bucket int"
+        return cls(spark.read.schema(postings).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
 
     def hits(self, words: list[str]) -> DataFrame:
         rows = self.postings.where(F.col("term").isin(words)) if words else self.postings.limit(0)

@@ -54,7 +54,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder: Embedder | None = None, embed_query: Callable[[str], Sequence[float]] | None = None, model: str = "none"):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.embedder, self.embed_query, self.model = embedder, embed_query, model
-        self.code, self.docs = ChunkStore(spark, f"{root}/code"), ChunkStore(spark, f"{root}/docs")
+        self.code, self.docs, self.prints = (ChunkStore(spark, f"{self.root}/{name}") for name in ("code", "docs", "fingerprints"))
 
     # building
 
@@ -92,7 +92,7 @@ class Engine:
         self.code.write(code)
         self.docs.write(docs)
         self._postings()
-        sources.fingerprints(files).write.mode("overwrite").parquet(f"{self.root}/fingerprints")
+        self.prints.write(sources.fingerprints(files))
         self._state("complete")
         return self.status()
 
@@ -100,29 +100,50 @@ class Engine:
         for name, store in (("code", self.code), ("docs", self.docs)):
             fts.Index.of(store.read()).write(f"{self.root}/fts-{name}")
 
+    def drift(self, files: DataFrame) -> DataFrame:
+        """(status, files): how far ``files`` are from the index."""
+        return state.drift(self.prints.read(), sources.fingerprints(files))
+
     def apply(self, files: DataFrame) -> DataFrame:
-        """Bring the index up to ``files``: (status, files) counts of what changed. Chunks of
-        unchanged files are kept with their vectors; both corpora and the postings follow."""
-        stored = self.spark.read.parquet(f"{self.root}/fingerprints")
-        delta = state.fingerprint_delta(stored, sources.fingerprints(files))
-        changed = delta.where(F.col("status").isin("added", "modified")).select("path")
-        gone = delta.where(F.col("status").isin("removed", "modified")).select("path")
-        code, docs = self._chunks(files.join(changed, "path", "left_semi"))
+        """Bring the index up to ``files``, the whole corpus: (status, files) counts of what
+        changed. Chunks of unchanged files are kept with their vectors."""
+        delta = state.fingerprint_delta(self.prints.read(), sources.fingerprints(files)).select("path", "status")
         counts = delta.groupBy("status").agg(F.count("*").alias("files")).collect()
-        notes = gone.select(F.concat(F.lit("[code-comment] "), "path").alias("path"))
+        self._apply(delta.where(F.col("status").isin("added", "modified", "removed")), files)
+        return self.spark.createDataFrame([tuple(r) for r in counts], "status string, files long")
+
+    reconcile = apply
+
+    def apply_changes(self, changes: DataFrame, load: Callable[[DataFrame], DataFrame]) -> None:
+        """Apply (path, op) changes, upsert or delete, such as a stream's batch; ``load``
+        gives the files of some paths. A path that cannot be loaded any more is deleted."""
+        files = load(changes.where(F.col("op") != "delete").select("path"))
+        known = files.select("path", F.lit(True).alias("__there"))
+        status = F.when(F.col("__there").isNull(), "removed").otherwise("modified")
+        self._apply(changes.select("path").distinct().join(known, "path", "left").select("path", status.alias("status")), files)
+
+    def reindex_file(self, files: DataFrame, path: str) -> None:
+        one = self.spark.createDataFrame([(path, "upsert")], "path string, op string")
+        self.apply_changes(one, lambda paths: files.join(paths, "path", "left_semi"))
+
+    def _apply(self, delta: DataFrame, files: DataFrame) -> None:
+        """Both corpora, comments of code, postings and fingerprints follow one delta; each
+        table is a new version, and the fingerprints, which say what is indexed, come last."""
+        changed = files.join(delta.where(F.col("status") != "removed").select("path"), "path", "left_semi")
+        code, docs = self._chunks(changed)
+        gone = delta.select("path")
         self.code.replace_paths(gone, code)
-        self.docs.replace_paths(gone.union(notes), docs)
+        self.docs.replace_paths(gone.union(gone.select(F.concat(F.lit("[code-comment] "), "path"))), docs)
         self._postings()
-        sources.fingerprints(files).write.mode("overwrite").parquet(f"{self.root}/fingerprints")
+        self.prints.replace_paths(gone, sources.fingerprints(changed))
         self._state("complete")
-        return self.spark.createDataFrame([tuple(r) for r in counts], "status string, files long")
 
     def rebuild(self, files: DataFrame) -> DataFrame:
         self.drop()
         return self.build(files)
 
     def drop(self) -> None:
-        for s in (self.code, self.docs):
+        for s in (self.code, self.docs, self.prints):
             s.drop()
 
     # searching
@@ -164,7 +185,7 @@ class Engine:
     def paths(self, pattern: str, limit: int = 20) -> DataFrame:
         if not 1 <= limit <= 100:
             raise ValueError("limit is 1 to 100")
-        return paths.by_glob(self.spark.read.parquet(f"{self.root}/fingerprints"), pattern, limit)
+        return paths.by_glob(self.prints.read(), pattern, limit)
 
     def summary(self, files: DataFrame) -> DataFrame:
         return chunking.summarized(files)
@@ -174,7 +195,7 @@ class Engine:
     _META = "state string, model string, files long, chunks long, doc_chunks long, strategy string, chunking string, updated timestamp"
 
     def _state(self, name: str) -> None:
-        files = self.spark.read.parquet(f"{self.root}/fingerprints").count() if name == "complete" else 0
+        files = self.prints.read().count() if name == "complete" else 0
         code, docs = (s.read().count() if name == "complete" else 0 for s in (self.code, self.docs))
         row = self.spark.createDataFrame([(name, self.model, files, code, docs, self.config.indexing_strategy, self.config.chunking_strategy)], self._META.rsplit(",", 1)[0])
         write_json(row.withColumn("updated", F.current_timestamp()), f"{self.root}/metadata")

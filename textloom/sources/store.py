@@ -3,10 +3,12 @@ buckets it touches and nothing else; and JSON sidecars."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
 
@@ -30,18 +32,27 @@ class ChunkStore:
         fs, p = self._fs(self._pointer())
         return fs.exists(p)
 
+    def _current(self) -> tuple[str, T.StructType]:
+        row = self.spark.read.schema("name string, schema string").json(self._pointer()).first()
+        return row["name"], T.StructType.fromJson(json.loads(row["schema"]))
+
     def version(self) -> str:
-        return self.spark.read.text(self._pointer()).first()[0]
+        return self._current()[0]
+
+    def _rows(self) -> DataFrame:
+        """With the bucket; a table without rows has no file to tell its schema."""
+        name, schema = self._current()
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.version()}").drop("bucket")
+        return self._rows().drop("bucket")
 
     def write(self, chunks: DataFrame) -> None:
         """Replace the whole table."""
         name = f"v-{uuid.uuid4().hex}"
         rows = chunks.withColumn("bucket", self._bucket())
         rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
-        self.spark.createDataFrame([(name,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer())
+        self.spark.createDataFrame([(name, rows.schema.json())], "name string, schema string").coalesce(1).write.mode("overwrite").json(self._pointer())
 
     def _bucket(self):
         return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
@@ -85,7 +96,7 @@ class ChunkStore:
     def of_path(self, path: str) -> DataFrame:
         """One file's chunks: one bucket's files are read."""
         bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(path)), F.lit(self.buckets)).cast("int")).first()[0]
-        return self.spark.read.parquet(f"{self.root}/{self.version()}").where((F.col("bucket") == bucket) & (F.col("path") == path)).drop("bucket")
+        return self._rows().where((F.col("bucket") == bucket) & (F.col("path") == path)).drop("bucket")
 
     def counts(self) -> DataFrame:
         return self.read().agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files"))
