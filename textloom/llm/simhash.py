@@ -263,7 +263,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     key, node, sketch = (np.concatenate([x[k] for x in got]) for k in range(3))
     del got
-    order = np.argsort(key)
+    order = np.lexsort((node, key))  # so a bucket's forest grows from its smallest node, as other buckets' do
     key, node, sketch = key[order], node[order], sketch[order].view(np.uint64)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
@@ -278,7 +278,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(left):
             front, left = [left[0]], left[1:]
             while front and len(left):
-                x = front.pop()
+                x = front.pop(0)
                 near = np.bitwise_count(sketch[left] ^ sketch[x]) <= SKETCH_MOST
                 if near.any():
                     b.append(node[left[near]])
@@ -328,7 +328,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     nodes = stash(held.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
     met = nodes.select("node", "wide").mapInArrow(_wide_rows, "key long, node long, sketch long").repartition("key").mapInArrow(_met, EDGE)
     met = stash(met.distinct(), "met")
-    named = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
     told = stash(rows.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "told")
     pairs = met.join(told.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     roots = components(pairs.select("a", "b", "x", "y").mapInArrow(exact, EDGE))
