@@ -83,3 +83,22 @@ def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None) ->
     if n > 2 * most:
         df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * most / n))
     return df.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most)
+
+
+ID_BUCKETS = 1 << 20
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, column: str, inside: bool) -> DataFrame:
+    """The rows whose id falls into a hash bucket of some id of ``ids`` (or those whose
+    does not), without a shuffle of ``rows``: the buckets are broadcast, and however many
+    ids there are, they are ``ID_BUCKETS`` numbers at most. Other ids may share a bucket,
+    so an exact join has to follow on the few rows inside; with so many ids that every
+    bucket is hit all rows are inside, and that join does all the work."""
+
+    def bucket(c) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
+
+    hit = ids.select(bucket(F.col(column).cast("long")).alias("__bucket")).distinct()
+    held = rows.select(F.struct("*").alias("__row"), bucket(F.col(column).cast("long")).alias("__bucket"))
+    kept = held.join(F.broadcast(hit), "__bucket", "left_semi" if inside else "left_anti")
+    return kept.select(*[F.col("__row")[c].alias(c) for c in rows.columns])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, stash, table, texts
+from ._common import bounded_batches, by_ids, stash, table, texts
 from ._words import mix
 from .components import EDGE, components
 
@@ -329,7 +329,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     met = nodes.select("node", "wide").mapInArrow(_wide_rows, "key long, node long, sketch long").repartition("key").mapInArrow(_met, EDGE)
     met = stash(met.distinct(), "met")
     named = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
-    told = stash(rows.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "told")
+    told = stash(by_ids(rows, named, "doc_id", True).join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "told")
     pairs = met.join(told.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     roots = components(pairs.select("a", "b", "x", "y").mapInArrow(exact, EDGE))
     rooted = nodes.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("component_id"))
@@ -340,9 +340,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five-word shingles, a similarity of
     0.8 or more) the document with the smallest doc_id stays. Rows of one doc_id are one
     document, of which one row stays; rows without a doc_id all stay."""
-    found = near_copies(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(found, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = stash(near_copies(docs), "groups")
+    dropped = found.where("doc_id <> component_id").select("doc_id")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    touched = stash(dropped.union(repeated), "touched")
+    # texts of documents that are neither dropped nor repeated stay where they are
+    inside = by_ids(docs.where("doc_id is not null"), touched, "doc_id", True)
+    kept = inside.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    outside = by_ids(docs.where("doc_id is not null"), touched, "doc_id", False)
+    return outside.unionByName(kept.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
