@@ -38,7 +38,7 @@ EF_HEAD = struct.Struct("<QQIIQ")
 EVERY = 256
 SHARD_BYTES = 32 << 20  #: ids of a shard, about
 END_ID = 2
-CACHE = 300_000  #: words whose ids a worker remembers
+CACHE = 120_000  #: words, and parts of words, whose ids a worker remembers
 
 
 def ef_encode(values: np.ndarray, universe: int) -> bytes:
