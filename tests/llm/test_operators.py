@@ -271,3 +271,29 @@ def test_near_copies_match_brute_force(spark, docs):
     kept = simhash.keep_one(spark, rows, "")
     assert kept.columns == rows.columns and kept.where("doc_id is null").count() == 1
     assert simhash.keep_one(spark, docs.limit(0), "").count() == 0
+
+
+def edited_copies(n, share, seed=3):
+    """Texts that are each about ``share`` similar to a last one and less to one another."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    edits = round((1 - share) / (1 + share) * 300 / 5)
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for k in r.sample(range(2, 298, 5), edits):
+            copy[k] = f"e{r.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return [*out, " ".join(base)]
+
+
+def test_edited_copies_link_through_an_original_of_any_id(spark):
+    texts = edited_copies(60, 0.86)
+    sets = [simhash.shingle_hashes(t) for t in texts]
+    linked = [simhash.similarity(x, sets[-1]) >= 0.8 for x in sets]
+    assert all(linked) and max(simhash.similarity(sets[0], x) for x in sets[1:-1]) < 0.8
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(rows).collect()}
+    assert out == dict.fromkeys(range(61), 0)

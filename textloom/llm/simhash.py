@@ -205,7 +205,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, most:
 
 BLOCKS, TABLES = 8, 7  #: 64-bit blocks of a wide fingerprint; tables of 46 bits each
 SKETCH_MOST = 18  #: of 64 bits; at a similarity of 0.8 about ten differ
-SMALL = 8  #: rows of a bucket up to which all its pairs are compared
+SMALL = 8  #: rows of a bucket up to which all its pairs are compared at once
+PIVOTS = (0, 8, None)  #: of larger ones by round; the last compares all that is not linked by then
+MOST_HELD = 1 << 20  #: pairs a task holds
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -255,40 +257,79 @@ def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[k : k + 1024][at]), pa.array(sketch[k : k + 1024][at])], names=["key", "node", "sketch"])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes with a common key whose sketches are near: all of a small bucket's,
-    a spanning forest's of a large one."""
-    got = [tuple(c.to_numpy(zero_copy_only=False) for c in x.columns) for x in batches]
-    if not got:
-        return
-    key, node, sketch = (np.concatenate([x[k] for x in got]) for k in range(3))
-    del got
-    order = np.lexsort((node, key))  # so a bucket's forest grows from its smallest node, as other buckets' do
-    key, node, sketch = key[order], node[order], sketch[order].view(np.uint64)
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(first, len(key)))
-    large = np.repeat(size > SMALL, size)
-    a, b = [], []
-    for gap in range(1, SMALL):
-        hit = np.flatnonzero((key[gap:] == key[:-gap]) & ~large[gap:] & (np.bitwise_count(sketch[gap:] ^ sketch[:-gap]) <= SKETCH_MOST))
-        a.append(node[hit])
-        b.append(node[hit + gap])
-    for s, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        left = np.arange(s, s + n)
-        while len(left):
-            front, left = [left[0]], left[1:]
-            while front and len(left):
-                x = front.pop(0)
-                near = np.bitwise_count(sketch[left] ^ sketch[x]) <= SKETCH_MOST
-                if near.any():
-                    b.append(node[left[near]])
-                    a.append(np.full(len(b[-1]), node[x]))
-                    front.extend(left[near])
-                    left = left[~near]
-    pairs = np.stack((np.concatenate(a), np.concatenate(b)), 1)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    if len(pairs):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+LINK = "key long, a long, b long"  #: a pair to verify has no key; a row that is left has key, node and sketch
+
+
+def _pivots(sketch: np.ndarray, most: int) -> list[int]:
+    """Rows that stand for many others: the one nearest to the majority of bits, then of
+    those not near it the next, up to ``most``."""
+    out, open_ = [], np.arange(len(sketch))
+    while len(open_) and len(out) < most:
+        bits = np.unpackbits(sketch[open_].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        middle = np.packbits(2 * bits > len(open_), bitorder="little").view("<u8")[0]
+        x = open_[np.argmin(np.bitwise_count(sketch[open_] ^ middle))]
+        out.append(int(x))
+        open_ = open_[np.bitwise_count(sketch[open_] ^ sketch[x]) > SKETCH_MOST]
+        open_ = open_[open_ != x]
+    return out
+
+
+def _met(pivots: int | None):
+    """Pairs of nodes with a common key that are to be verified, by bucket: all pairs of a
+    small one or, with ``pivots`` None, of any; of a large one those of its smallest node
+    (0) or of so many pivots with every other row, while the rest of its rows is left for
+    the next round. Rows of one root are linked already and no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(c.to_numpy(zero_copy_only=False) for c in x.columns) for x in batches]
+        if not got:
+            return
+        key, node, sketch, root = (np.concatenate([x[k] for x in got]) for k in range(4))
+        del got
+        order = np.lexsort((node, key))  # so buckets agree on the first pivot, their smallest node
+        key, node, sketch, root = key[order], node[order], sketch[order].view(np.uint64), root[order]
+
+        def able(x, y):
+            return (np.bitwise_count(sketch[x] ^ sketch[y]) <= SKETCH_MOST) & (root[x] != root[y])
+
+        def told(a: list, b: list) -> pa.RecordBatch:
+            pairs = np.stack((np.concatenate(a), np.concatenate(b)), 1)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["key", "a", "b"])
+
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        large = np.repeat(size > SMALL, size)
+        place = np.arange(len(key))
+        a, b, held, rest = [], [], 0, []
+        for gap in range(1, SMALL):
+            x = place[:-gap][(key[gap:] == key[:-gap]) & ~large[gap:]]
+            x = x[able(x, x + gap)]
+            a.append(node[x])
+            b.append(node[x + gap])
+        for s, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            if (root[s : s + n] == root[s]).all():
+                continue
+            chosen = range(n) if pivots is None else [0] if not pivots else _pivots(sketch[s : s + n], pivots)
+            left = place[s : s + n]
+            for x in chosen:
+                left = left[1:] if pivots is None else left[left != s + x]
+                near = left[able(left, s + x)]
+                a.append(node[near])
+                b.append(np.full(len(near), node[s + x]))
+                held += len(near)
+                if held > MOST_HELD:
+                    yield told(a, b)
+                    a, b, held = [], [], 0
+            if pivots is not None:
+                rest.append(left)
+        if a:
+            yield told(a, b)
+        if rest:
+            left = np.concatenate(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(node[left]), pa.array(sketch[left].view(np.int64))], names=["key", "a", "b"])
+
+    return run
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -326,12 +367,22 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = stash(rows.mapInArrow(prints, "doc_id long, wide binary"), "wide")
     nodes = stash(held.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
-    met = nodes.select("node", "wide").mapInArrow(_wide_rows, "key long, node long, sketch long").repartition("key").mapInArrow(_met, EDGE)
-    met = stash(met.distinct(), "met")
-    named = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
-    told = stash(by_ids(rows, named, "doc_id", True).join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "told")
-    pairs = met.join(told.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(exact, EDGE))
+    left = nodes.select("node", "wide").mapInArrow(_wide_rows, "key long, node long, sketch long").withColumn("root", F.col("node"))
+    tested = links = roots = None
+    for pivots in PIVOTS:
+        out = stash(left.repartition("key").mapInArrow(_met(pivots), LINK), "met")
+        met = out.where("key is null").select("a", "b").distinct()
+        met = stash(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
+        named = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
+        told = stash(by_ids(rows, named, "doc_id", True).join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "told")
+        pairs = met.join(told.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        found = stash(pairs.select("a", "b", "x", "y").mapInArrow(exact, EDGE), "links")
+        tested, links = (met, found) if tested is None else (tested.union(met), links.union(found))
+        roots = components(links)
+        rest = out.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("sketch"))
+        if rest.isEmpty():
+            break
+        left = rest.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
     rooted = nodes.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("component_id"))
     return held.join(rooted, "wide").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
