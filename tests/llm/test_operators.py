@@ -297,3 +297,20 @@ def test_edited_copies_link_through_an_original_of_any_id(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.component_id for r in simhash.near_copies(rows).collect()}
     assert out == dict.fromkeys(range(61), 0)
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rows = []
+    for k in range(300):
+        text = edited_copies(0, 0.8, k)[0].split()
+        copy = list(text)
+        sets = [simhash.shingle_hashes(" ".join(text))]
+        for at in range(2, 298, 5):  # edits as long as the pair stays at 0.8 or more
+            copy[at] = f"e{k}x{at}"
+            if simhash.similarity(sets[0], simhash.shingle_hashes(" ".join(copy))) < 0.8:
+                copy[at] = text[at]
+                break
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+        assert 0.8 <= simhash.similarity(*(simhash.shingle_hashes(t) for _, t in rows[-2:])) < 0.83
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[2 * k + 1] == 2 * k for k in range(300)) == 300 and len(set(out.values())) == 300

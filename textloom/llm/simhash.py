@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, by_ids, stash, table, texts
-from ._words import mix
+from ._common import bounded_batches, bounded_sample, by_ids, stash, table, texts
 from .components import EDGE, components
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -197,18 +196,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, most:
 
 
 # Near copies by similarity. At a Jaccard similarity of 0.8 a tenth to a sixth of all
-# bits differ, so no 64-bit fingerprint within three bits finds them. The same keys do
-# over a wide one: each of seven tables takes two segments of 23 bits of its own, whose
-# Golay keys meet with probability 0.36 at a similarity of 0.8 and 0.62 at 0.9: one table
-# at least with 0.96 and 0.999. Pairs that meet are verified on 64 further bits, and at
-# last exactly, on the sets of shingles.
-
-BLOCKS, TABLES = 8, 7  #: 64-bit blocks of a wide fingerprint; tables of 46 bits each
-SKETCH_MOST = 18  #: of 64 bits; at a similarity of 0.8 about ten differ
+# bits differ, so no 64-bit fingerprint within three bits finds them. Prefixes of the sets
+# do: two sets of similarity t share at least t of either's hashes, so in any order common
+# to all sets their first n - ceil(t * n) + 1 hashes meet, of n. Rare hashes come first:
+# those found often in a sample of texts are last, so a passage in many texts is a key of
+# few. Order decides costs alone. Pairs that meet are verified on the sets of shingles.
+
 SMALL = 8  #: rows of a bucket up to which all its pairs are compared at once
 PIVOTS = (0, 8, None)  #: of larger ones by round; the last compares all that is not linked by then
 MOST_HELD = 1 << 20  #: pairs a task holds
-_STEP = 0x9E3779B97F4A7C15
+SAMPLE, OFTEN = 16_000, 4  #: texts sampled for common hashes; in so many of them one is common
+COMMON_BITS = 20  #: of a hash, by which common ones are known
 
 
 def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
@@ -220,82 +218,42 @@ def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray, blocks: int = BLOCKS) -> bytes:
-    """``blocks`` fingerprints over hashes that differ by block."""
-    out = []
-    for b in range(blocks):
-        h = mix(hashes + np.uint64(b * _STEP & (1 << 64) - 1))
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) for every key of wide fingerprints (n, 8 * blocks bytes)."""
-    bits = np.unpackbits(prints, axis=1, bitorder="little").astype(np.int64)
-    power = 1 << np.arange(23)
-    places, keys = [], []
-    for t in range(TABLES):
-        one, two = (golay_keys(bits[:, s : s + 23] @ power) for s in (46 * t, 46 * t + 23))
-        both = (one[:, :, None] << 12 | two[:, None, :]).reshape(len(bits), 36)
-        both[((one < 0)[:, :, None] | (two < 0)[:, None, :]).reshape(len(bits), 36)] = -1
-        at, k = np.nonzero(both >= 0)
-        places.append(at)
-        keys.append(t << 24 | both[at, k])
-    return np.concatenate(places), np.concatenate(keys)
-
-
-def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-        sketch = prints[:, -8:].copy().view("<i8").reshape(-1)
-        for k in range(0, len(ids), 1024):
-            at, key = wide_keys(prints[k : k + 1024])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[k : k + 1024][at]), pa.array(sketch[k : k + 1024][at])], names=["key", "node", "sketch"])
-
-
-LINK = "key long, a long, b long"  #: a pair to verify has no key; a row that is left has key, node and sketch
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, rare ones first, of which sets of a similarity of ``least``
+    or more share one at least."""
+    late = common[(hashes >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
+    n = len(hashes)
+    return np.concatenate((hashes[~late], hashes[late]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
 
 
-def _pivots(sketch: np.ndarray, most: int) -> list[int]:
-    """Rows that stand for many others: the one nearest to the majority of bits, then of
-    those not near it the next, up to ``most``."""
-    out, open_ = [], np.arange(len(sketch))
-    while len(open_) and len(out) < most:
-        bits = np.unpackbits(sketch[open_].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        middle = np.packbits(2 * bits > len(open_), bitorder="little").view("<u8")[0]
-        x = open_[np.argmin(np.bitwise_count(sketch[open_] ^ middle))]
-        out.append(int(x))
-        open_ = open_[np.bitwise_count(sketch[open_] ^ sketch[x]) > SKETCH_MOST]
-        open_ = open_[open_ != x]
-    return out
+LINK = "key long, a long, b long, size int, pos int"  #: a pair to verify has no key; a row that is left has key and node
 
 
-def _met(pivots: int | None):
+def _met(pivots: int | None, least: float):
     """Pairs of nodes with a common key that are to be verified, by bucket: all pairs of a
     small one or, with ``pivots`` None, of any; of a large one those of its smallest node
     (0) or of so many pivots with every other row, while the rest of its rows is left for
-    the next round. Rows of one root are linked already and no pair."""
+    the next round. Rows of one root are linked already and no pair, nor are those whose
+    sizes, or places of a first common hash, leave too little to share. The pivots are
+    the rows with the fewest rarer hashes, which edits of one text have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(c.to_numpy(zero_copy_only=False) for c in x.columns) for x in batches]
         if not got:
             return
-        key, node, sketch, root = (np.concatenate([x[k] for x in got]) for k in range(4))
+        key, node, size_of, pos, root = (np.concatenate([x[k] for x in got]) for k in range(5))
         del got
         order = np.lexsort((node, key))  # so buckets agree on the first pivot, their smallest node
-        key, node, sketch, root = key[order], node[order], sketch[order].view(np.uint64), root[order]
+        key, node, size_of, pos, root = (x[order] for x in (key, node, size_of, pos, root))
 
         def able(x, y):
-            return (np.bitwise_count(sketch[x] ^ sketch[y]) <= SKETCH_MOST) & (root[x] != root[y])
+            shared = np.minimum(size_of[x] - pos[x], size_of[y] - pos[y])  # at most
+            return (shared >= least / (1 + least) * (size_of[x].astype(np.int64) + size_of[y]) - 1e-6) & (root[x] != root[y])
 
         def told(a: list, b: list) -> pa.RecordBatch:
             pairs = np.stack((np.concatenate(a), np.concatenate(b)), 1)
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["key", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *[pa.nulls(len(pairs), pa.int32())] * 2], names=["key", "a", "b", "size", "pos"])
 
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
@@ -310,7 +268,7 @@ def _met(pivots: int | None):
         for s, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             if (root[s : s + n] == root[s]).all():
                 continue
-            chosen = range(n) if pivots is None else [0] if not pivots else _pivots(sketch[s : s + n], pivots)
+            chosen = range(n) if pivots is None else [0] if not pivots else np.argsort(pos[s : s + n], kind="stable")[:pivots].tolist()
             left = place[s : s + n]
             for x in chosen:
                 left = left[1:] if pivots is None else left[left != s + x]
@@ -327,7 +285,7 @@ def _met(pivots: int | None):
             yield told(a, b)
         if rest:
             left = np.concatenate(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(node[left]), pa.array(sketch[left].view(np.int64))], names=["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(node[left]), pa.nulls(len(left), pa.int64()), pa.array(size_of[left]), pa.array(pos[left])], names=["key", "a", "b", "size", "pos"])
 
     return run
 
@@ -343,15 +301,29 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     shingles have a Jaccard similarity of ``least`` or more are linked; component_id is the
     smallest doc_id that links reach, itself included.
 
-    Texts of equal wide fingerprints are one node. Texts without words are one group.
+    No pair is lost on the way (see above). Texts of equal sets are one node. Texts without words are one group.
     Rows of one doc_id are one document; rows without a doc_id take no part.
     """
     bounded_batches(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_fingerprint(shingle_hashes(t, shingle)) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["doc_id", "wide"])
+            sets = [xxhash.xxh3_128_digest(shingle_hashes(t, shingle).tobytes()) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "held"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t, shingle).view(np.int64))], names=["h"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(np.frombuffer(told_common.value, np.uint8)).astype(bool)
+        for batch in batches:
+            found = [(d, len(h), prefix(h, least, common)) for d, h in zip(batch.column(0).to_pylist(), (shingle_hashes(t, shingle) for t in texts(batch)), strict=True) if len(h)]
+            if found:
+                n = [len(k) for _, _, k in found]
+                columns = (np.concatenate([k for _, _, k in found]).view(np.int64), np.repeat(np.array([d for d, _, _ in found], np.int64), n), np.repeat(np.array([m for _, m, _ in found], np.int32), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "size", "pos"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,26 +337,34 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = stash(rows.mapInArrow(prints, "doc_id long, wide binary"), "wide")
-    nodes = stash(held.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
-    left = nodes.select("node", "wide").mapInArrow(_wide_rows, "key long, node long, sketch long").withColumn("root", F.col("node"))
+    held = stash(rows.mapInArrow(prints, "doc_id long, held binary"), "held")
+    nodes = stash(held.groupBy("held").agg(F.min("doc_id").alias("node")), "nodes")
+    sampled = bounded_sample(nodes.select("node"), "node", SAMPLE)
+    often = rows.join(F.broadcast(sampled.select(F.col("node").alias("doc_id")).distinct()), "doc_id").select("text").mapInArrow(parts, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    common = np.zeros(1 << COMMON_BITS, np.uint8)
+    common[[r[0] for r in often.select(F.shiftrightunsigned("h", 64 - COMMON_BITS).alias("c")).distinct().collect()]] = 1
+    told_common = docs.sparkSession.sparkContext.broadcast(np.packbits(common).tobytes())
+    # texts of documents that are not another's copy are read where they are
+    copies = held.select("doc_id").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").distinct()
+    alone = by_ids(rows, copies, "doc_id", False).union(by_ids(rows, copies, "doc_id", True).join(copies, "doc_id", "left_anti"))
+    left = alone.mapInArrow(keys, "key long, node long, size int, pos int").withColumn("root", F.col("node"))
     tested = links = roots = None
     for pivots in PIVOTS:
-        out = stash(left.repartition("key").mapInArrow(_met(pivots), LINK), "met")
+        out = stash(left.repartition("key").mapInArrow(_met(pivots, least), LINK), "met")
         met = out.where("key is null").select("a", "b").distinct()
         met = stash(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
         named = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
-        told = stash(by_ids(rows, named, "doc_id", True).join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "told")
+        told = stash(by_ids(rows, named, "doc_id", True).join(named, "doc_id", "left_semi").select("doc_id", "text").distinct(), "told")
         pairs = met.join(told.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
         found = stash(pairs.select("a", "b", "x", "y").mapInArrow(exact, EDGE), "links")
         tested, links = (met, found) if tested is None else (tested.union(met), links.union(found))
         roots = components(links)
-        rest = out.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("sketch"))
+        rest = out.where("key is not null").select("key", F.col("a").alias("node"), "size", "pos")
         if rest.isEmpty():
             break
-        left = rest.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
-    rooted = nodes.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("component_id"))
-    return held.join(rooted, "wide").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        left = rest.join(roots, "node", "left").select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, "node", "left").select("held", F.coalesce("root", "node").alias("component_id"))
+    return held.join(rooted, "held").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
