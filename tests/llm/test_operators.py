@@ -314,3 +314,15 @@ def test_no_pair_at_the_threshold_is_lost(spark):
         assert 0.8 <= simhash.similarity(*(simhash.shingle_hashes(t) for _, t in rows[-2:])) < 0.83
     out = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(out[2 * k + 1] == 2 * k for k in range(300)) == 300 and len(set(out.values())) == 300
+
+
+def test_rows_without_an_id_have_their_own_shares(spark):
+    data = [(None if k % 2 else k, f"text {k} " + "word " * (k % 9), f"s{k % 3}") for k in range(60)]
+    data += [data[1], (4, "another text of document 4", "s2"), data[6]]
+    rows = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want, have = {}, {}
+    for r in mixing.mix(rows).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    for r in mixing.mixed_documents(spark, rows, "").collect():
+        have[r.source] = have.get(r.source, 0) + len(r.text.split())
+    assert have == {k: n for k, n in want.items() if n}

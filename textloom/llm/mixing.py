@@ -21,8 +21,17 @@ SHARE, CAP = 1.5, 2  #: of all words; most epochs of a source
 BUCKET = 20_000  #: rows of a bucket, about
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+ROW = ("__k1", "__k2")
+
+
+def row_key(docs: DataFrame) -> list:
+    """128 bits of hash of what tells rows apart here: doc_id, source and text, nulls told from values."""
+    told = [x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(k), *told).alias(name) for k, name in enumerate(ROW)]
+
+
+def sizes(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    return docs.select(*(row_key(docs) if keyed else []), "doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -45,8 +54,9 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return by.withColumn("x", level).select("source", "source_size", F.least(F.col("w") * F.col("x"), F.col("source_size") * float(cap)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, keyed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken; with ``keyed``
+    also the hashes of ``row_key``, by which ties go then at last.
 
     A source's whole epochs take each of its documents whole; the rest of its
     budget takes documents in key order, the one at the edge in part, so taken words
@@ -55,7 +65,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     text has size 0; null is a source, ordered last. Empty table: empty result.
     Keys and thus results depend on doc_id alone: reruns agree. Extra columns are not read.
     """
-    sized = stash(sizes(docs), "sizes")
+    keys = ROW if keyed else ()
+    sized = stash(sizes(docs, keyed), "sizes")
     # equal key ranges: 4 hex digits are fine enough to hold BUCKET rows of the largest source
     aims = stash(targets(sized, weights, share, cap), "targets")
     n = sized.count()
@@ -66,23 +77,26 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     starts = totals.select(F.col("source").alias("src"), F.col("bucket").alias("b"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("start"))
     starts = starts.join(aims, F.col("src").eqNullSafe(F.col("source"))).select("src", "b", "start", "source_size", "target")
     placed = sized.join(starts, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b")))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", *keys).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("start") + F.sum("size").over(inside) - F.col("size")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", before.alias("before"), epochs.cast("long").alias("epochs"), budget.cast("long").alias("budget"))
+    placed = placed.select(*keys, "doc_id", "source", "size", "source_size", "target", before.alias("before"), epochs.cast("long").alias("epochs"), budget.cast("long").alias("budget"))
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select(*keys, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix itself. A document is repeated once for each epoch that
     takes it, whole but for the one at a budget's edge, cut behind its last taken
-    word; documents of no taken word go. Rows of one doc_id are one document here."""
-    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
+    word; documents of no taken word go. Each row has its own share, whatever its doc_id;
+    rows of equal doc_id, source and text are dealt theirs in falling order."""
+    taken = mix(docs, keyed=True).where("taken > 0").groupBy(*ROW).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("__all"), F.max("size").alias("__size"))
     # the whole row travels as one column, so none of its names can clash with these
-    rows = docs.select(F.struct("*").alias("__row")).join(taken, F.col("__row.doc_id").eqNullSafe(F.col("__id")))
+    rows = docs.select(F.struct("*").alias("__row"), *row_key(docs))
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy(*ROW).orderBy(*ROW)))
+    rows = rows.join(taken, list(ROW)).where(F.col("__n") <= F.size("__all")).withColumn("__taken", F.element_at("__all", F.col("__n")))
     takes = F.expr("transform(sequence(1, CAST(ceil(__taken / __size) AS INT)), i -> least(__size, __taken - (i - 1) * __size))")
     rows = rows.select("__row", "__size", F.explode(takes).alias("__take"))
     own = F.col("__row.text")
