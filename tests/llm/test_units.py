@@ -143,6 +143,37 @@ def test_pieces_are_the_library_s():
     assert [e.pieces.decode(np.frombuffer(x, "<i4").tolist()) for x in e.encode(plain)] == plain
 
 
+@pytest.mark.parametrize("kind", ["letters", "one letter", "spaces", "line feeds", "ideographs", "zero bytes"])
+def test_long_texts_without_white_space_take_near_linear_time(kind):
+    import time
+
+    import sentencepiece
+
+    r = random.Random(4)
+    text = {
+        "letters": "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(10**6)), "one letter": "a" * 200_000, "spaces": " " * 200_000,
+        "line feeds": "\n" * 10**6, "ideographs": "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(300_000)), "zero bytes": "\0ab" * 10_000,
+    }[kind]
+    e = sentencepieces.encoder(sentencepieces.default_model())
+    began = time.process_time()
+    got = np.frombuffer(e.encode([text])[0], "<i4")
+    assert time.process_time() - began < 10
+    assert got.tolist() == sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model()).encode(text)
+    assert e.pieces.decoded(got, np.array([0, len(got)])) == [text]
+
+
+def test_runs_merge_alike_in_tables_and_by_heap():
+    p = sentencepieces.encoder(sentencepieces.default_model()).pieces
+    r = random.Random(5)
+    for n in (2, 3, 5, 17, 64, 65, 200):
+        text = "".join(r.choice("abcdertionhs") for _ in range(n))
+        ids, at = [], 0
+        for k in filter(None, p.merged(text)):
+            ids.append(p.ids.get(text[at : at + k], p.single.get(text[at : at + k])))
+            at += k
+        assert np.frombuffer(p.segments([text])[0], "<i4").tolist() == ids
+
+
 def test_suffix_array_finds_every_occurrence():
     p = sentencepieces.Encoder(sentencepieces.default_model()).pieces
     text = "▁the▁other▁▁there"
