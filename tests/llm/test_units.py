@@ -190,7 +190,8 @@ def test_word_ids_are_the_library_s():
     e = token_files.encoder(token_files.default_vocabulary())
     texts = TEXTS + random_texts(400, 7)
     want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(e.encode(t), e.kind).tolist() for t in texts] == want
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == want
+    assert [np.frombuffer(e.encode([t])[0], e.kind).tolist() for t in texts] == want
 
 
 @settings(max_examples=60)
@@ -201,6 +202,8 @@ def test_elias_fano_round_trip(values):
     data = token_files.ef_encode(v, u)
     ef = token_files.EliasFano(memoryview(data))
     assert (ef.all() == v).all() and [ef.select(i) for i in range(len(v))] == v.tolist()
+    some = np.arange(0, len(v), 3)
+    assert (ef.selects(some) == v[some]).all()
     with pytest.raises(IndexError):
         ef.select(len(v))
 
@@ -212,7 +215,7 @@ def test_elias_fano_is_small():
 
 def test_shard_round_trip():
     docs = [np.array([5, 6, 2], np.uint16), np.array([2], np.uint16), np.array([40_000, 2], np.uint16)]
-    s = token_files.Shard(token_files.shard_bytes([None, 7, 1 << 40], docs, 2))
+    s = token_files.Shard(token_files.shard_bytes([None, 7, 1 << 40], [d.tobytes() for d in docs], 2))
     assert [s.doc_id(i) for i in range(3)] == [None, 7, 1 << 40] and [s.tokens(i).tolist() for i in range(3)] == [d.tolist() for d in docs]
     with pytest.raises(ValueError):
         token_files.Shard(b"x" * 100)

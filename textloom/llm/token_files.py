@@ -20,7 +20,6 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, fresh_path, table, texts
+from ._common import bounded_batches, by_size, fresh_path, table, texts
 
 MAGIC = b"TLIDS1\0\0"
 HEAD = struct.Struct("<8sIIQQQq")
@@ -38,7 +37,9 @@ EF_HEAD = struct.Struct("<QQIIQ")
 EVERY = 256
 SHARD_BYTES = 32 << 20  #: ids of a shard, about
 END_ID = 2
-CACHE = 120_000  #: words, and parts of words, whose ids a worker remembers
+MANIFEST = "manifest.json"
+CACHE = 240_000  #: words whose ids a worker remembers
+END_OF_PART = "\x01"  #: stands behind each part of a word while it is merged
 
 
 def ef_encode(values: np.ndarray, universe: int) -> bytes:
@@ -88,21 +89,34 @@ class EliasFano:
         place = byte * 8 + (part & -part).bit_length() - 1
         return (place - i) << self.low | self._low(i)
 
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """Values ``i``, many at once: running counts of ones tell the byte that holds each."""
+        ones = np.bitwise_count(self.highs).astype(np.int64)
+        upto = np.cumsum(ones)
+        byte = np.searchsorted(upto, i, "right")
+        place = byte * 8 + _PLACES[self.highs[byte], i - (upto[byte] - ones[byte])]
+        high = place - i
+        if not self.low:
+            return high
+        bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
+        return (high << self.low) + bits[i].astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+
     def all(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        low = bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64)) if self.low else 0
-        return (high << self.low) + low
+        return self.selects(np.arange(self.n))
+
 
+#: by byte and k: the place of its k-th one
+_PLACES = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)])
 
-def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray], width: int) -> bytes:
+
+def shard_bytes(doc_ids: list[int | None], docs: list[bytes], width: int) -> bytes:
+    """A shard of documents' little-endian ids, each ``width`` bytes wide."""
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     least = int(known[0]) if len(known) else 0
-    ends = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum([len(d) // width for d in docs]))).astype(np.int64)
     head = HEAD.pack(MAGIC, width, 0, len(docs), int(ends[-1]), len(doc_ids) - len(known), least)
     span = known - least
-    ids = np.concatenate(docs).astype(f"<u{width}") if docs else np.zeros(0, f"<u{width}")
-    return head + ids.tobytes() + ef_encode(ends, int(ends[-1])) + ef_encode(span, int(span[-1]) if len(span) else 0)
+    return head + b"".join(docs) + ef_encode(ends, int(ends[-1])) + ef_encode(span, int(span[-1]) if len(span) else 0)
 
 
 class Shard:
@@ -134,9 +148,10 @@ class WordEncoder:
 
     The vocabulary's normaliser and pre-tokenizer drop white space and never join
     what it parts, so a text's ids are its words' ids in order; each different word
-    is encoded once while it is remembered. Words of Latin letters, digits and
-    ASCII signs are merged by a compiled BPE over the same merges, with the end of a
-    word as a byte of its own that merges first; any other word goes to the library.
+    of a batch is encoded once while it is remembered. Words of Latin letters, digits
+    and ASCII signs are merged all at once by a compiled BPE over the same merges, with
+    the end of a part as a byte of its own that merges first; any other word goes to
+    the library.
     """
 
     def __init__(self, path: str):
@@ -148,59 +163,55 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.width = 2 if self.size <= 1 << 16 else 4
-        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        self.kind = f"<u{self.width}"
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         byte = _byte_of()
+        end = END_OF_PART.encode()
 
         def raw(token: str) -> bytes:
-            end = token.endswith("</w>")
-            return bytes(byte[c] for c in token.removesuffix("</w>")) + b"\xff" * end
+            return bytes(byte[c] for c in token.removesuffix("</w>")) + end * token.endswith("</w>")
 
         ranks = {bytes([b]): b for b in range(256)}
         for b in range(256):
-            ranks.setdefault(bytes([b, 255]), len(ranks))
+            ranks.setdefault(bytes([b]) + end, len(ranks))
         for a, b in model["merges"]:
             ranks.setdefault(raw(a) + raw(b), len(ranks))
         known = {raw(t): i for t, i in model["vocab"].items() if all(c in byte for c in t.removesuffix("</w>"))}
-        self.of = {r: known[k] for k, r in ranks.items() if k in known}
-        self.core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.of = np.zeros(len(ranks), self.kind)
+        for r, k in ranks.items():
+            self.of[k] = known.get(r, 0)
+        self.core = tiktoken.Encoding("words", pat_str=rf"[^{END_OF_PART}\n]+{END_OF_PART}|\n", mergeable_ranks=ranks, special_tokens={})
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.simple = regex.compile("[\x21-\x7eÀ-įı-ňŊ-ɏ]+")
+        self.simple = regex.compile("(?!.*<\\|)[\x21-\x7eÀ-įı-ňŊ-ɏ]+")
         self.cache: dict[bytes, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
-
-    def word(self, data: bytes) -> bytes:
-        if data.isalpha():
-            return self.part(data.lower())
-        if data[-1] in b".,;:!?" and data[:-1].isalpha():
-            return self.part(data[:-1].lower()) + self.part(data[-1:])
-        text = data.decode()
-        if not self.simple.fullmatch(text) or "<|" in text:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            return b"".join([self.part(x.encode()) for x in self.parts.findall(text.lower())])
-        return array(self.code, ids).tobytes()
-
-    def part(self, piece: bytes) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            ids = self.core.encode_single_piece(piece + b"\xff")
-            found = self.known[piece] = array(self.code, map(self.of.__getitem__, ids)).tobytes()
-        return found
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        cache = self.cache
-        new = set(words).difference(cache)
-        if len(cache) + len(new) > CACHE and len(new) < len(cache):
-            cache.clear()
-            new = set(words)
-        for w in new:
-            cache[w] = self.word(w)
-        return b"".join(map(cache.__getitem__, words))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of words."""
+        simple, other = [], []
+        for w in words:
+            (simple if w.isalpha() or self.simple.fullmatch(w.decode()) else other).append(w)
+        for k in range(0, len(simple), 50_000):
+            part = simple[k : k + 50_000]
+            text = self.parts.sub(rf"\g<0>{END_OF_PART}", b"\n".join(part).decode().lower())
+            got = self.core.encode_to_numpy(text + "\n", disallowed_special=())
+            ends = np.flatnonzero(got == 10)  # a line feed behind each word
+            data, at = self.of[got].tobytes(), (self.width * np.concatenate(([0], ends + 1))).tolist()
+            self.cache.update(zip(part, [data[a : b - self.width] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+        for _, part in by_size(other, len, 1 << 20):
+            rows = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)
+            self.cache.update(zip(part, [np.array(r.ids, self.kind).tobytes() for r in rows], strict=True))
+
+    def encode(self, rows: list[str]) -> list[bytes]:
+        """Ids of each text, as wide as the file has them."""
+        words = [t.encode().split() for t in rows]
+        every = set().union(*words)
+        new = every.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = every
+        self.learn(new)
+        return [b"".join(map(self.cache.__getitem__, w)) for w in words]
 
 
 def _byte_of() -> dict[str, int]:
@@ -219,10 +230,13 @@ def write(docs: DataFrame, out: str, vocabulary: str | None = None, end_id: int
     """Write the ids of all documents under ``out`` (a folder that driver and
     executors share) and return (file, documents, ids) of each shard in order.
 
-    Documents are range-partitioned by doc_id; null ids come first; rows that share
-    a doc_id go by their text. A file is written under a name of its own and then
-    renamed to one that only depends on the partition, so a task that runs again
-    replaces the same file. The driver gets a row per shard of about ``shard_size`` bytes.
+    Documents are range-partitioned by doc_id and a hash of the text, so rows without
+    a doc_id, or of one, are dealt to many tasks; null ids come first; rows that share
+    a doc_id go by that hash, then by their text. A file is written under a name of its
+    own and then renamed to one that only depends on the partition, so a task that runs
+    again replaces the same file. The driver gets a row per shard of about ``shard_size``
+    bytes and writes them, last of all, as ``manifest.json``, from which ``shards_of``
+    opens the folder. An empty table has a manifest without shards.
     """
     path = vocabulary or default_vocabulary()
     bounded_batches(docs.sparkSession)
@@ -248,19 +262,38 @@ def write(docs: DataFrame, out: str, vocabulary: str | None = None, end_id: int
             return row
 
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                ids = e.encode(t) + end
-                names.append(name)
-                held.append(np.frombuffer(ids, e.kind))
-                size += len(ids)
-                if size >= shard_size:
-                    yield close()
+            for first in range(0, batch.num_rows, 250):
+                rows = batch.slice(first, 250)
+                for name, ids in zip(rows.column(0).to_pylist(), e.encode(texts(rows)), strict=True):
+                    names.append(name)
+                    held.append(ids + end)
+                    size += len(held[-1])
+                    if size >= shard_size:
+                        yield close()
         if names:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     rows = ordered.mapInArrow(run, "part long, k long, name string, docs long, ids long").collect()
-    return [(f"{out}/{r.name}", r.docs, r.ids) for r in sorted(rows, key=lambda r: (r.part, r.k))]
+    shards = [(r.name, r.docs, r.ids) for r in sorted(rows, key=lambda r: (r.part, r.k))]
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(out)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(own := f"{root}/.{MANIFEST}.{uuid.uuid4().hex}") as f:
+        f.write(json.dumps([dict(zip(("name", "documents", "ids"), x, strict=True)) for x in shards]).encode())
+    store.move(own, f"{root}/{MANIFEST}")
+    return [(f"{out}/{name}", n, ids) for name, n, ids in shards]
+
+
+def shards_of(out: str) -> list[tuple[str, int, int]]:
+    """(file, documents, ids) of each shard of a folder that ``write`` has made, in order."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(out)
+    with store.open_input_stream(f"{root}/{MANIFEST}") as f:
+        return [(f"{out}/{x['name']}", x["documents"], x["ids"]) for x in json.loads(f.read())]
 
 
 def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
@@ -282,7 +315,7 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
                 store, at = fs.FileSystem.from_uri(name)
                 with store.open_input_stream(at) as f:
                     shard = Shard(f.read())
-                ends = shard.ends.all()
+                ends = shard.ends.selects(np.arange(shard.n + 1))
                 names = [None] * shard.nulls + (shard.names.all() + shard.least).tolist()
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -292,4 +325,6 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts have the end id alone. Repeated rows stay rows."""
-    return read(spark, write(table(spark, sf_dir, "documents"), fresh_path(spark, "ids")))
+    out = fresh_path(spark, "ids")
+    write(table(spark, sf_dir, "documents"), out)
+    return read(spark, shards_of(out))
