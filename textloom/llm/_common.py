@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +32,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, that driver and executors share; a
-    folder of our own only where that setting is missing (tests, one machine)."""
+    folder of our own only where that setting is missing on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,7 +52,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stashed[id(out)] = weakref.ref(out, lambda _, k=id(out): _stashed.pop(k, None)), path
+    return out
+
+
+_stashed: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote and nothing reads any more."""
+    for t in tables:
+        if found := _stashed.pop(id(t), None):
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(found[1])
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_text(column: str) -> Column:

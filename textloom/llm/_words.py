@@ -7,6 +7,9 @@ its hash from the same sums.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +25,9 @@ _CLASS[97:123] = 97
 _CLASS[128:] = 97
 _CLASS[48:58] = 48
 
+BLOCK = 1 << 20  #: bytes of a long text that are looked at together
+_ANY_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -77,6 +83,38 @@ def words_of(texts: list[bytes], lower: bool = False) -> Words:
     return out
 
 
+def blocks(text: bytes, most: int = BLOCK) -> Iterator[bytes]:
+    """A text in pieces of up to ``most`` bytes, cut at white space, so memory does not grow
+    with it. Of a word longer than that its first bytes and a digest stand for it."""
+    at = 0
+    while len(text) - at > most:
+        space = max(text.rfind(c, at, at + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if space > at:
+            yield text[at:space]
+            at = space
+            continue
+        found = _ANY_SPACE.search(text, at + 1)
+        end = found.start() if found else len(text)
+        word = text[at:end]
+        yield word if len(word) <= most else word[:17] + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+        at = end
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every word, A-Z lower-cased, in order; long texts go by blocks."""
+    if sum(map(len, texts)) <= 2 * BLOCK:
+        w = words_of(texts, lower=True)
+        return w.doc, w.hash
+    docs, hashes = [], []
+    for k, t in enumerate(texts):
+        for part in blocks(t):
+            h = words_of([part], lower=True).hash
+            docs.append(np.full(len(h), k, np.int64))
+            hashes.append(h)
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
 def shapes_of(w: Words) -> np.ndarray:
     """A hash of each word's shape: letters by case and digits as classes, runs
     of one class or character collapsed, other punctuation kept."""

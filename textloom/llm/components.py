@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import stash
+from ._common import discard, stash
 
 EDGE = "a long, b long"
 
@@ -48,16 +48,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nulls and loops are no edges; an empty table gives an empty result.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stash(edges.distinct().mapInArrow(_contract, EDGE).distinct(), "edges")
-    seen = None
+    told = Observation()
+    now = stash(edges.distinct().mapInArrow(_contract, EDGE).distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    seen = told.get  # stars that a round leaves as they are: done
+    if not seen["n"]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
-        now = stash(small.distinct(), "edges")
-        is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        told = Observation()
+        before, now = now, stash(small.distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        discard(before)
+        is_now = told.get
         if is_now == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = is_now
