@@ -119,6 +119,14 @@ def test_splices_give_whole_counts(chunk, overlap):
     assert [token_counts.spliced(path, t, chunk, overlap) for t in texts] == want
 
 
+def test_very_long_texts_count_as_the_library_s():
+    path = token_counts.default_vocabulary()
+    r = random.Random(6)
+    texts = [" " * 10**6, "\n" * 10**6, "".join(r.choice("abcdefgh") for _ in range(10**6)), "日本語" * 20_000, " \n" * 50_000, "é word <|endoftext|> " * 20_000]
+    want = [len(token_counts._library(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_counts.count(path, texts) == want
+
+
 def test_splices_with_the_library_s_own_offsets(monkeypatch):
     path = token_counts.default_vocabulary()
     monkeypatch.setattr(token_counts, "_fast", lambda p: None)

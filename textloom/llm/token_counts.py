@@ -16,20 +16,22 @@ from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_left
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, by_size, table, texts
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 13, 1 << 9
 LIMIT = 512
 SPACE = " \t\n\r\x0b\x0c"
+LONG_WORD = 1 << 14  #: characters of a word that the library alone encodes
+_LONG_SPACE = re.compile(r"\s{4096}")  #: so is this
 
 
 def default_vocabulary() -> str:
@@ -62,17 +64,39 @@ def _fast(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens=special)
 
 
-def encoded(path: str, text: str) -> tuple[list[int], list[int]]:
-    """Ids, and the places of their first characters; a token that starts inside a
-    character, or behind white space that is its own, has a place that is no boundary."""
+@lru_cache
+def _sizes(path: str) -> np.ndarray:
+    """Bytes of each token."""
+    fast = _fast(path)
+    return np.array([len(fast.decode_single_token_bytes(i)) for i in range(fast.n_vocab)])
+
+
+def _ids(path: str, text: str) -> np.ndarray | None:
+    """Ids by the faster encoder; None if there is none, or if it gives up, as it does on long
+    white space."""
     fast = _fast(path)
-    if not fast:
+    if fast and (len(text) < 4096 or not _LONG_SPACE.search(text) and max(map(len, text.split()), default=0) < LONG_WORD):
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except (ValueError, RuntimeError):
+            pass
+    return None
+
+
+def encoded(path: str, text: str) -> tuple[list[int], dict[int, int]]:
+    """Ids, and by place the first token that starts there; a token that starts inside a
+    character, or behind white space that is its own, has a place that is no boundary."""
+    ids = _ids(path, text)
+    if ids is None:
         e = _library(path).encode(text, add_special_tokens=False)
-        return e.ids, [start for start, _ in e.offsets]
-    ids = fast.encode(text, allowed_special="all")
-    place = dict(zip(accumulate((len(c.encode()) for c in text), initial=0), range(len(text) + 1), strict=True))
-    ends = accumulate((len(fast.decode_single_token_bytes(i)) for i in ids), initial=0)
-    return ids, [place.get(e, -1) for _, e in zip(ids, ends, strict=False)]
+        return e.ids, {start: k for k, (start, _) in reversed(list(enumerate(e.offsets)))}
+    size = _sizes(path)[ids]
+    begin = np.cumsum(size) - size
+    if text.isascii():
+        return ids.tolist(), dict(zip(begin.tolist(), range(len(ids)), strict=True))
+    head = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+    whole = np.flatnonzero(head[begin])
+    return ids.tolist(), dict(zip((np.cumsum(head) - 1)[begin[whole]].tolist(), whole.tolist(), strict=True))
 
 
 def stable(text: str, first: int, last: int) -> list[int]:
@@ -83,9 +107,9 @@ def stable(text: str, first: int, last: int) -> list[int]:
 def spliced(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text of any length. No more than ``chunk`` characters and two
     overlaps are encoded at once, unless overlaps have to be widened."""
-    total, begin = 0, 0  # tokens before ``begin``, a stable boundary
+    total, begin, now = 0, 0, chunk  # tokens before ``begin``, a stable boundary
     while True:
-        end = min(begin + chunk, len(text))
+        end = min(begin + now, len(text))
         ids, places = encoded(path, text[begin:end])
         if end == len(text):
             return total + len(ids)
@@ -93,36 +117,37 @@ def spliced(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
         while True:
             start = end - width
             if start <= begin:  # widened to the whole chunk: take a longer one
-                chunk *= 2
+                now *= 2
                 break
-            right, at = encoded(path, text[start : end + overlap])
+            candidates = stable(text, start + 1, end)
             found = None
-            for p in reversed(stable(text, start + 1, end)):
-                k = bisect_left(places, p - begin) if _fast(path) is None else next((k for k, x in enumerate(places) if x == p - begin), None)
-                j = bisect_left(at, p - start) if _fast(path) is None else next((j for j, x in enumerate(at) if x == p - start), None)
-                # tokens behind the place agree, up to the last that the left chunk cuts off
-                if k is not None and j is not None and ids[k : k + 1] == right[j : j + 1] and k + 1 < len(ids):
-                    found = (p, k)
-                    break
+            if candidates:
+                right, at = encoded(path, text[start : end + overlap])
+                for p in reversed(candidates):
+                    k, j = places.get(p - begin), at.get(p - start)
+                    # tokens behind the place agree, up to the last that the left chunk cuts off
+                    if k is not None and j is not None and ids[k] == right[j] and k + 1 < len(ids):
+                        found = (p, k)
+                        break
             if found:
-                total, begin = total + found[1], found[0]
+                total, begin, now = total + found[1], found[0], chunk
                 break
             width *= 2
 
 
 def count(path: str, rows: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     out = [0] * len(rows)
-    fast = _fast(path)
-    short = [k for k, t in enumerate(rows) if len(t) <= chunk]
-    if fast:
-        for k in short:
-            out[k] = len(fast.encode(rows[k], allowed_special="all")) if rows[k] else 0
-    else:
-        for _, part in by_size(short, lambda k: len(rows[k]), 1 << 20):
-            for k, e in zip(part, _library(path).encode_batch_fast([rows[k] for k in part], add_special_tokens=False), strict=True):
-                out[k] = len(e.ids)
-    for k in set(range(len(rows))) - set(short):
-        out[k] = spliced(path, rows[k], chunk, overlap)
+    left = []
+    for k, t in enumerate(rows):
+        if len(t) > chunk:
+            out[k] = spliced(path, t, chunk, overlap)
+        elif t and (ids := _ids(path, t)) is not None:
+            out[k] = len(ids)
+        elif t:
+            left.append(k)
+    for _, part in by_size(left, lambda k: len(rows[k]), 1 << 20):
+        for k, e in zip(part, _library(path).encode_batch_fast([rows[k] for k in part], add_special_tokens=False), strict=True):
+            out[k] = len(e.ids)
     return out
 
 
@@ -131,6 +156,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
 
     Counts are those of the tokenizers library over the whole text, without added
     tokens; special strings in a text are special tokens, the library's default.
+    What the faster encoder cannot take (very long white space) goes to the library.
     Null and empty texts count 0. Repeated rows stay rows; a null doc_id stays null.
     Extra columns are not read.
     """
