@@ -31,7 +31,7 @@ def row_key(docs: DataFrame) -> list:
 
 
 def sizes(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    return docs.select(*(row_key(docs) if keyed else []), "doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+    return docs.select(*(row_key(docs) if keyed else []), "doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))).alias("key"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -60,10 +60,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 
     A source's whole epochs take each of its documents whole; the rest of its
     budget takes documents in key order, the one at the edge in part, so taken words
-    sum up to the target rounded down. Ties of the key go by doc_id; rows that
-    repeat a doc_id are dealt as they come, with the same totals. A null or empty
+    sum up to the target rounded down. Keys come from doc_id, without one from the
+    text; their ties go by doc_id, then by size, and rows equal in all that are alike in
+    every column: reruns agree, however rows are dealt. A null or empty
     text has size 0; null is a source, ordered last. Empty table: empty result.
-    Keys and thus results depend on doc_id alone: reruns agree. Extra columns are not read.
+    Extra columns are not read.
     """
     keys = ROW if keyed else ()
     sized = stash(sizes(docs, keyed), "sizes")
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     starts = totals.select(F.col("source").alias("src"), F.col("bucket").alias("b"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("start"))
     starts = starts.join(aims, F.col("src").eqNullSafe(F.col("source"))).select("src", "b", "start", "source_size", "target")
     placed = sized.join(starts, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b")))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", *keys).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *keys).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("start") + F.sum("size").over(inside) - F.col("size")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -117,14 +118,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2.0::DOUBLE / w AS r FROM s),
 c AS (SELECT *, coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped, sum(source_size) OVER ()::DOUBLE AS t,
              sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr FROM r WINDOW o AS (ORDER BY r, source NULLS LAST)),
 x AS (SELECT *, (t * 1.5::DOUBLE - capped * 2.0::DOUBLE) / wr AS x FROM c),
 g AS (SELECT source, source_size, least(w * (SELECT max(x) FROM x), source_size * 2.0::DOUBLE) AS target FROM x),
-p AS (SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before,
+p AS (SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before,
              CASE WHEN g.source_size > 0 THEN floor(floor(target) / g.source_size) ELSE 0 END::BIGINT AS epochs
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken FROM p
