@@ -121,6 +121,15 @@ def test_line_dedup_edges(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_many_lines_of_one_text_take_linear_time(spark):
+    import time
+
+    rows = [(k, "a common line of many words\nown", f"s{k}") for k in range(10)] + [(99, "a common line of many words\n" * 60_000 + "end", "s99")]
+    began = time.time()
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 99").first()
+    assert out.text == "\nend"[1:] and out.removed_lines == 60_000 and time.time() - began < 30
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     data = [(k, f"line of exactly {n} sites", f"site{k}") for n in (9, 10, 11) for k in range(n)]
     d = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(data)], "doc_id long, text string, source string")
@@ -195,6 +204,15 @@ def test_mixing_matches_the_sql_and_its_terms(docs):
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_reruns_agree_with_repeated_and_missing_ids(spark):
+    data = [(None if k % 3 == 0 else k % 7, "word " * (k % 11 + 1) + f"t{k % 5}", f"s{k % 2}") for k in range(200)]
+    rows = spark.createDataFrame([*data, data[0], data[1], (None, None, None)], "doc_id long, text string, source string")
+    cols = ("doc_id", "size", "source_size", "target", "taken")
+    want = got(mixing.mix(rows.coalesce(1)), *cols)
+    for n in (2, 3, 5):
+        assert got(mixing.mix(rows.repartition(n)), *cols) == want
+
+
 def test_mixed_documents_hold_the_taken_words(spark, docs):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     want = {r.doc_id: r.taken for r in mixing.mix(rows).collect() if r.taken}

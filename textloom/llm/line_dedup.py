@@ -29,7 +29,9 @@ def _key(line: Column) -> list[Column]:
 def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, lg_k: int = LG_K, band: float = BAND) -> tuple[DataFrame, DataFrame]:
     """(all lines, boilerplate lines): lines have k1, k2, doc_id, t (hash of the text),
     pos and site; boilerplate has k1, k2 and its first occurrence."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # hashed before lines part, so once a text and not once a line
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"))
+    lines = hashed.select("doc_id", "t", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.where(r"line rlike '[^\\x20\\x09-\\x0D]'").select("doc_id", "t", "site", "pos", *_key(F.col("line")))
     first = F.min(F.struct("doc_id", "pos", "t")).alias("first")
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), first)
@@ -60,8 +62,14 @@ def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES, lg_k:
     keyed = docs.select(F.struct("*").alias("__row"), F.xxhash64("text").alias("__h"))
     joined = keyed.join(gone, F.col("__row.doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
     own_text = F.col("__row.text")
-    left = F.filter(F.split(own_text, "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), own_text).otherwise(F.array_join(left, "\n"))
+
+    def left(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(places, lambda i: lines[i]), "\n")
+
+    # the text is parted once, as the variable of a function, and looked up by place
+    cut = F.transform(F.array(F.split(own_text, "\n")), left)[0]
+    text = F.when(F.col("__gone").isNull(), own_text).otherwise(cut)
     return joined.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"))
 
 
