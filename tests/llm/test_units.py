@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm import ann, rules, sentencepieces, simhash, token_counts, token_files, toxicity
+from textloom.llm import _words, ann, quality, rules, sentencepieces, simhash, token_counts, token_files, toxicity
 from textloom.llm._linear import Sparse, ftrl, sigmoid
 from textloom.llm._words import words_of
 
@@ -295,6 +295,88 @@ def test_forest_keeps_every_link():
 # 2 and 9
 
 
+def plain_features(text):
+    """The classifier's features word by word, in plain Python."""
+    def mixed(h, salt):
+        h ^= salt
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * c % 2**64
+        return h ^ h >> 33
+
+    def polynomial(data):
+        return sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, b in enumerate(data)) % 2**64
+
+    def shape(word):
+        kinds = [65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in word]
+        return polynomial([b for k, b in enumerate(kinds) if not k or kinds[k - 1] != b])
+
+    words = text.encode().split()
+    h = [polynomial(w) for w in words]
+    s = [2**64 - 1 - shape(w) if k and h[k] == h[k - 1] else shape(w) for k, w in enumerate(words)]
+    k1, k2, k3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+    out = [mixed(x, 1) for x in h] + [mixed(x, 3) for x in s]
+    for x, salt in ((h, 2), (s, 4)):
+        out += [mixed((b * k1 + a * k2) % 2**64, salt) for a, b in zip(x, x[1:])]
+    out += [mixed((c * k1 + b * k2 + a * k3) % 2**64, 5) for a, b, c in zip(s, s[1:], s[2:])]
+    return [x >> (64 - quality.BITS) for x in out]
+
+
+def test_quality_scores_are_those_of_plain_python(monkeypatch):
+    w = np.random.default_rng(7).normal(size=(1 << quality.BITS) + 1)
+    rows = TEXTS + random_texts(40, 11) + ["a A a a b1 b1 b22"]
+    want = []
+    for t in rows:
+        f = plain_features(t)
+        want.append(1 / (1 + np.exp(-(sum(w[f]) * quality.SCALE / max(len(f), 1) + w[-1]))))
+    data = [t.encode() for t in rows]
+    assert np.allclose(quality.scores(data, w), want, atol=1e-9)
+    # long texts go by blocks and slices of words, with the same result
+    for m, name, value in ((_words, "BLOCK", 64), (quality, "BLOCK", 64), (quality, "WORDS", 5)):
+        monkeypatch.setattr(m, name, value)
+    monkeypatch.setattr(quality, "blocks", lambda t: _words.blocks(t, 400))
+    assert np.allclose(quality.scores(data, w), want, atol=1e-9)
+
+
+def test_toxicity_terms_are_those_of_plain_python(monkeypatch):
+    rows = random_texts(30, 12) + ["Bad bad word wording words x"]
+    data = [t.encode() for t in rows]
+    x, words = toxicity.counted(data, toxicity.FINE)
+    want = []
+    for t in data:
+        cut = [w.lower() for w in t.translate(toxicity._PART).split()]
+        count = {}
+        for key in [(0, w) for w in cut] + [(n, w[:n]) for n in toxicity.BEGINNINGS for w in cut if len(w) >= n]:
+            count[key] = count.get(key, 0) + 1
+        want.append((len(cut), sorted(count.values())))
+    assert [(int(n), sorted(x.value[a:b].tolist())) for n, a, b in zip(words, x.ptr[:-1], x.ptr[1:], strict=True)] == want
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    monkeypatch.setattr(toxicity, "blocks", lambda t: _words.blocks(t, 400))
+    y, again = toxicity.counted(data, toxicity.FINE)
+    assert (again == words).all() and all((getattr(x, c) == getattr(y, c)).all() for c in ("ptr", "index", "value"))
+
+
+def test_blocks_of_long_texts_keep_words():
+    for t in random_texts(30, 13):
+        data = (t + " ").encode() * 9
+        for most in (300, 500):
+            assert [w for b in _words.blocks(data, most) for w in b.split()] == data.split()
+    long = b"x" * 900
+    got = [b.strip() for b in _words.blocks(long + b" b " + long, 100) if b.strip()]
+    assert len(got) == 3 and got[1] == b"b" and got[0] == got[2] and got[0].startswith(b"x" * 16) and len(got[0]) < 100
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import resource
+
+    text = ("some words of a very long text, Again and again! " * 1_400_000).encode()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    w = np.zeros((1 << quality.BITS) + 1)
+    assert quality.scores([text], w)[0] == 0.5
+    known = np.zeros(1 << toxicity.BITS, bool)
+    assert toxicity.counted([text], toxicity.BITS, known)[1][0] == 14_000_000
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1_500
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(4)
     rows, feats, y = [], [], []

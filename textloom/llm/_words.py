@@ -95,8 +95,8 @@ def blocks(text: bytes, most: int = BLOCK) -> Iterator[bytes]:
             continue
         found = _ANY_SPACE.search(text, at + 1)
         end = found.start() if found else len(text)
-        word = text[at:end]
-        yield word if len(word) <= most else word[:17] + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+        word = text[at:end].lstrip(b" \n\t\r\x0b\x0c")
+        yield word if len(word) <= most else word[:16] + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
         at = end
     yield text[at:]
 

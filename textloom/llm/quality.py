@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, bounded_sample, by_size, crc_text, table, texts
 from ._linear import Sparse, ftrl, joined, sigmoid
-from ._words import mix, shapes_of, words_of
+from ._words import BLOCK, blocks, mix, shapes_of, words_of
 
 BITS = 20
 SCALE = 16.0
@@ -26,25 +26,61 @@ SAMPLE = 8_000  #: most labelled rows that fit the model, by hash of doc_id
 FOLDS, HELD_OUT = 4, 2
 LIMIT = 0.7  #: predicted is 1 from this score on
 CHUNK = 1 << 20
+WORDS = 1 << 18  #: words whose features are held together
 
 
-def features(batch: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs of a batch, repeats included."""
-    w = words_of(batch)
-    h, s, d = w.hash, shapes_of(w), w.doc
+def _words(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and shape of every word; long texts go by blocks."""
+    if sum(map(len, batch)) <= 2 * BLOCK:
+        w = words_of(batch)
+        return w.doc, w.hash, shapes_of(w)
+    got = []
+    for k, t in enumerate(batch):
+        for part in blocks(t):
+            w = words_of([part])
+            got.append((w.doc + k, w.hash, shapes_of(w)))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def feature_parts(batch: list[bytes], bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature) pairs of a batch, repeats included, by ``WORDS`` words at most."""
+    d, h, s = _words(batch)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
     s = np.where(same, ~s, s)
-    two, three = d[1:] == d[:-1], d[2:] == d[:-2]
     k1, k2, k3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-    parts = [
-        (d, mix(h, 1)),
-        (d[1:][two], mix(h[1:] * k1 + h[:-1] * k2, 2)[two]),
-        (d, mix(s, 3)),
-        (d[1:][two], mix(s[1:] * k1 + s[:-1] * k2, 4)[two]),
-        (d[2:][three], mix(s[2:] * k1 + s[1:-1] * k2 + s[:-2] * k3, 5)[three]),
-    ]
-    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]) >> np.uint64(64 - bits)
+    for at in range(0, len(h), WORDS):
+        end = min(at + WORDS, len(h))
+        d1, h1, s1 = d[at:end], h[at:end], s[at:end]
+        d2, h2, s2 = (x[max(at - 1, 0) : end] for x in (d, h, s))
+        d3, s3 = (x[max(at - 2, 0) : end] for x in (d, s))
+        two, three = d2[1:] == d2[:-1], d3[2:] == d3[:-2]
+        parts = [
+            (d1, mix(h1, 1)),
+            (d2[1:][two], mix(h2[1:] * k1 + h2[:-1] * k2, 2)[two]),
+            (d1, mix(s1, 3)),
+            (d2[1:][two], mix(s2[1:] * k1 + s2[:-1] * k2, 4)[two]),
+            (d3[2:][three], mix(s3[2:] * k1 + s3[1:-1] * k2 + s3[:-2] * k3, 5)[three]),
+        ]
+        yield np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]) >> np.uint64(64 - bits)
+
+
+def features(batch: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``feature_parts`` together."""
+    parts = list(feature_parts(batch, bits)) or [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+
+
+def scores(data: list[bytes], w: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The score of each text: a sparse dot product with the weights, whose last is the bias."""
+    out = np.zeros(len(data))
+    for at, part in by_size(data, len, CHUNK):
+        sums, count = np.zeros(len(part)), np.zeros(len(part))
+        for doc, f in feature_parts(part, bits):
+            sums += np.bincount(doc, w[f], len(part))
+            count += np.bincount(doc, minlength=len(part))
+        out[at : at + len(part)] = sums * (SCALE / np.maximum(count, 1))
+    return sigmoid(out + w[-1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
@@ -96,13 +132,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value.astype(np.float64)
         for batch in batches:
-            data = [t.encode() for t in texts(batch)]
-            out = np.zeros(len(data))
-            for at, part in by_size(data, len, CHUNK):
-                doc, f = features(part, bits)
-                sums = np.bincount(doc, w[f], len(part))
-                out[at : at + len(part)] = sums * (SCALE / np.maximum(np.bincount(doc, minlength=len(part)), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(out + w[-1]))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores([t.encode() for t in texts(batch)], w, bits))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -129,15 +159,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         w = held.value.astype(np.float64)
         for batch in batches:
             data = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            keep = np.zeros(len(data), bool)
-            for at, part in by_size([t.encode() for t in data], len, CHUNK):
-                doc, f = features(part)
-                z = np.bincount(doc, w[f], len(part)) * (SCALE / np.maximum(np.bincount(doc, minlength=len(part)), 1)) + w[-1]
-                keep[at : at + len(part)] = sigmoid(z) >= LIMIT
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(scores([t.encode() for t in data], w) >= LIMIT))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; see ``classify`` for nulls, empty texts and repeated rows."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, bounded_sample, by_size, crc_text, table, texts
 from ._linear import Sparse, ftrl, joined, sigmoid
-from ._words import mix, words_of
+from ._words import BLOCK, blocks, mix, words_of
 from .quality import CHUNK, LIMIT, labelled
 
 BITS = 22  #: buckets of the classifier
@@ -40,15 +40,39 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 _PART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def terms(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term hash) pairs of a batch, repeats included, and the words of each text."""
-    w = words_of([x.translate(_PART) for x in batch], lower=True)
-    docs, out = [w.doc], [mix(w.hash, 11)]
-    for n in BEGINNINGS:
-        long = w.end - w.start >= n
-        docs.append(w.doc[long])
-        out.append(mix(w.slice_hash(w.start[long], w.start[long] + n), 20 + n))
-    return np.concatenate(docs), np.concatenate(out), np.bincount(w.doc, minlength=len(batch))
+def terms(batch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, term hash) pairs of a batch, repeats included, and the words of each text, by
+    blocks of long texts."""
+    whole = [[x.translate(_PART) for x in batch]]
+    if sum(map(len, batch)) > 2 * BLOCK:
+        whole = ([b""] * k + [part] for k, x in enumerate(batch) for part in blocks(x.translate(_PART)))
+    for rows in whole:
+        w = words_of(rows, lower=True)
+        docs, out = [w.doc], [mix(w.hash, 11)]
+        for n in BEGINNINGS:
+            long = w.end - w.start >= n
+            docs.append(w.doc[long])
+            out.append(mix(w.slice_hash(w.start[long], w.start[long] + n), 20 + n))
+        yield np.concatenate(docs), np.concatenate(out), np.bincount(w.doc, minlength=len(batch))
+
+
+def counted(batch: list[bytes], bits: int, known: np.ndarray | None = None) -> tuple[Sparse, np.ndarray]:
+    """Counts of each text's terms (of ``known`` ones alone, if given), and its words."""
+    rows, index, value, words = [], [], [], np.zeros(len(batch), np.int64)
+    for doc, f, n in terms(batch):
+        f = (f >> np.uint64(64 - bits)).astype(np.int64)
+        if known is not None:
+            hit = known[f]
+            doc, f = doc[hit], f[hit]
+        x = Sparse.of(doc, f, len(batch))
+        rows.append(np.repeat(np.arange(x.n), np.diff(x.ptr)))
+        index.append(x.index)
+        value.append(x.value)
+        words += n
+    if len(rows) == 1:
+        return x, words
+    key, at = np.unique(np.concatenate(rows) << 32 | np.concatenate(index), return_inverse=True)
+    return Sparse(np.searchsorted(key, np.arange(len(batch) + 1, dtype=np.int64) << 32), key & 0xFFFFFFFF, np.bincount(at, np.concatenate(value), len(key))), words
 
 
 def levelled(x: Sparse, words: np.ndarray, bits: int) -> Sparse:
@@ -131,8 +155,7 @@ def label_model(v: np.ndarray, known: np.ndarray, y: np.ndarray, rounds: int = 4
 def _presence(rows: list[bytes], bits: int = FINE) -> tuple[Sparse, np.ndarray]:
     parts, words = [], []
     for _, part in by_size(rows, len, CHUNK):
-        doc, f, n = terms(part)
-        x = Sparse.of(doc, f >> np.uint64(64 - bits), len(part))
+        x, n = counted(part, bits)
         parts.append(levelled(x, n, bits))
         words.append(n)
     return joined(parts), np.concatenate(words)
@@ -189,10 +212,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
             data = [t.encode() for t in texts(batch)]
             z = np.full(len(data), w[-1])
             for first, part in by_size(data, len, CHUNK):
-                doc, f, words = terms(part)
-                f = (f >> np.uint64(64 - bits)).astype(np.int64)
-                hit = known[f]
-                x = levelled(Sparse.of(doc[hit], f[hit], len(part)), words, bits)
+                x = levelled(*counted(part, bits, known), bits)
                 place = np.minimum(np.searchsorted(at, x.index), len(at) - 1)
                 row = np.repeat(np.arange(x.n), np.diff(x.ptr))
                 z[first : first + len(part)] += np.bincount(row, np.where(at[place] == x.index, w[place], 0), x.n)
@@ -216,4 +236,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, unlabel
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; see ``toxicity`` for nulls, empty texts and repeated rows."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
