@@ -88,3 +88,62 @@ def test_comments():
     c = symbols.comments(py, "python")[0]
     assert c.symbol == "f" and c.tags[0][:3] == ("param", "the value", "x")
     assert symbols.comments('def f():\n    """short"""\n', "python") == []
+
+
+def test_docstring_sections_are_tags_and_leave_the_body():
+    doc = """Open a file and read all of it.
+
+    Args:
+        path (str): where it lies,
+            on any disk
+        mode: how
+
+    Returns:
+        int: bytes read
+
+    Raises:
+        ValueError: if empty
+
+    More words.
+    :param late: a field
+    """
+    body, tags = symbols._docstring(doc)
+    assert body.split("\n")[0] == "Open a file and read all of it." and "More words." in body and "Args" not in body and "ValueError" not in body
+    assert tags == [("param", "where it lies, on any disk", "path", "str"), ("param", "how", "mode", ""), ("returns", "bytes read", "", "int"), ("throws", "if empty", "", "ValueError"), ("param", "a field", "late", "")]
+    js = "/**\n * Adds two numbers together.\n * @param {number} a - the first\n * @returns {number} the sum\n */\nfunction add(a, b) {}"
+    c = symbols.comments(js, "javascript")[0]
+    assert c.text == "Adds two numbers together." and symbols.comment_text(c).count("@param") == 1
+
+
+def plain_split(text, size, overlap, separators):
+    """The splitter part by part: what the cuts by cumulative lengths must equal."""
+    sep = next((x for x in separators if x and x in text), "")
+    if not sep:
+        return S._slices(text, size, overlap)
+    parts = [x + sep for x in text.split(sep)[:-1]] + text.split(sep)[-1:]
+    out, tail, own = [], [], []
+    for part in parts:
+        if sum(map(len, tail + own)) + len(part) > size and "".join(tail + own):
+            out.append("".join(tail + own))
+            tail = []
+            while own and len(own[-1]) + sum(map(len, tail)) <= overlap:
+                tail.insert(0, own.pop())
+            own = []
+        if sum(map(len, tail + own)) + len(part) <= size:
+            own.append(part)
+        else:
+            out += ["".join(tail + own)] * bool("".join(tail + own))
+            out += plain_split(part, size, overlap, separators[separators.index(sep) + 1 :]) if len(part) > size else [part]
+            tail, own = [], []
+    return out + ["".join(tail + own)] * bool("".join(tail + own))
+
+
+def test_cuts_by_lengths_equal_the_splitter_part_by_part():
+    import random
+
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choice("ab c\n.") for _ in range(r.randrange(1, 160)))
+        size, overlap = r.randrange(3, 30), r.randrange(0, 12)
+        if len(text) > size:
+            assert S._split(text, size, overlap, S.SEPARATORS) == plain_split(text, size, overlap, S.SEPARATORS), (text, size, overlap)

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 CHUNK, OVERLAP, MOST = 4_000, 800, 1_000
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -54,30 +56,25 @@ def _split(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> l
     sep = next((s for s in separators if s and s in text), "")
     if not sep:
         return _slices(text, size, overlap)
-    rest = separators[separators.index(sep) + 1 :]
-    pieces = text.split(sep)
-    parts = [p + sep for p in pieces[:-1]] + pieces[-1:]
+    ends = [0, *accumulate(len(p) + len(sep) for p in text.split(sep))]
+    ends[-1] = len(text)  # nothing parts the last one from what follows
+    last = len(ends) - 1
     out: list[str] = []
-    current, held = "", []
-    for part in parts:
-        if len(current) + len(part) > size and current:
-            out.append(current)
-            keep, room = [], overlap
-            for p in reversed(held):
-                if len(p) > room:
-                    break
-                keep.append(p)
-                room -= len(p)
-            current, held = "".join(reversed(keep)), []
-        if len(current) + len(part) <= size:
-            current += part
-            held.append(part)
-            continue
-        if current:
-            out.append(current)
-        out += _split(part, size, overlap, rest) if len(part) > size else [part]
-        current, held = "", []
-    return out + [current] if current else out
+    first = fresh = k = 0  # parts first..k are at hand, those from fresh on in no piece yet
+    while True:
+        k = max(k, bisect_right(ends, ends[first] + size) - 1)
+        if ends[k] > ends[first]:
+            out.append(text[ends[first] : ends[k]])
+        if k >= last:
+            return out
+        # whole parts that fit into the overlap begin the next piece
+        first, fresh = max(fresh, bisect_left(ends, ends[k] - overlap)), k
+        if ends[k + 1] - ends[first] > size:
+            if ends[k] > ends[first]:
+                out.append(text[ends[first] : ends[k]])
+            part = text[ends[k] : ends[k + 1]]
+            out += _split(part, size, overlap, separators[separators.index(sep) + 1 :]) if len(part) > size else [part]
+            first = fresh = k = k + 1
 
 
 def line_count(text: str) -> int:

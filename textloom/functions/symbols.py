@@ -156,13 +156,54 @@ def _brace_end(lines: list[str], at: int) -> tuple[int, int, int]:
 
 
 _TAG = re.compile(r"@(\w+)(?:[ \t]+\{([^}]*)\})?(?:[ \t]+(.*))?")
-_PY_PARAM = re.compile(r"^\s*:?(param|type|raises|returns|return|rtype)\b\s*([^:]*):\s*(.*)$|^\s{2,}(\*{0,2}\w+)\s*(?:\(([^)]*)\))?:\s+(.*)$", re.M)
+_PY_FIELD = re.compile(r"^\s*:(\w+)(?:\s+([^:]*?))?:\s*(.*)$")
+_PY_ENTRY = re.compile(r"^(\*{0,2}\w+)\s*(?:\(([^)]*)\))?:\s*(.*)$")
+_PY_TYPED = re.compile(r"^([\w.\[\], |]+):\s+(.*)$")
+#: sections of a docstring, by the tag of their entries (fixed values)
+_SECTIONS = {"args": "param", "arguments": "param", "parameters": "param", "params": "param", "attributes": "property", "returns": "returns", "return": "returns", "yields": "yields", "yield": "yields", "raises": "throws", "raise": "throws", "throws": "throws", "example": "example", "examples": "example", "note": "note", "notes": "note"}
+_FIELDS = {"param": "param", "parameter": "param", "arg": "param", "return": "returns", "returns": "returns", "raises": "throws", "raise": "throws", "rtype": "rtype", "type": "type"}
+
+
+def _docstring(text: str) -> tuple[str, list[tuple[str, str, str, str]]]:
+    """The body of a docstring, and the tags of its sections and fields."""
+    body: list[str] = []
+    tags: list[list[str]] = []
+    section, indent = None, 0
+    for line in text.split("\n"):
+        bare, depth = line.strip(), len(line) - len(line.lstrip())
+        if m := _PY_FIELD.match(line):
+            if kind := _FIELDS.get(m[1]):
+                tags.append([kind, m[3].strip(), *(("", (m[2] or "").strip()) if kind == "throws" else ((m[2] or "").strip(), ""))])
+                continue
+        title = bare.removesuffix(":").lower()
+        if bare.endswith(":") and title in _SECTIONS and (section is None or depth <= indent):
+            section, indent = _SECTIONS[title], depth
+        elif section is not None and bare and depth <= indent:
+            section = None
+            body.append(line)
+        elif section is None:
+            body.append(line)
+        elif not bare:
+            continue
+        elif section in ("param", "property") and (m := _PY_ENTRY.match(bare)):
+            tags.append([section, m[3], m[1], m[2] or ""])
+        elif section == "throws" and (m := _PY_TYPED.match(bare)):
+            tags.append([section, m[2], "", m[1]])
+        elif section in ("returns", "yields") and (not tags or tags[-1][0] != section):
+            m = _PY_TYPED.match(bare)
+            tags.append([section, m[2] if m else bare, "", m[1] if m else ""])
+        elif tags and tags[-1][0] == section:
+            tags[-1][1] = f"{tags[-1][1]} {bare}".strip()
+        else:
+            tags.append([section, bare, "", ""])
+    return "\n".join(body).strip(), [tuple(t) for t in tags]
 
 
 def tags_of(text: str, style: str = "block") -> list[tuple[str, str, str, str]]:
-    """(name, value, parameter, its type) of the tags of a doc comment."""
+    """(name, value, parameter, its type) of the tags of a doc comment. Of ``raises`` the type
+    is the exception's, of ``returns`` the value's."""
     if style == "python":
-        return [("param" if m[4] else m[1], (m[6] or m[3] or "").strip(), (m[4] or m[2] or "").strip(), (m[5] or "").strip()) for m in _PY_PARAM.finditer(text)]
+        return _docstring(text)[1]
     out = []
     for m in _TAG.finditer(text):
         rest = (m[3] or "").strip()
@@ -174,6 +215,12 @@ def tags_of(text: str, style: str = "block") -> list[tuple[str, str, str, str]]:
     return out
 
 
+def without_tags(text: str) -> str:
+    """The body of a doc comment: all before its first tag line."""
+    m = re.search(r"^\s*@\w+", text, re.M)
+    return (text[: m.start()] if m else text).strip()
+
+
 def cleaned(text: str) -> str:
     """A block comment without its markers."""
     inner = re.sub(r"^\s*/\*+!?|\*+/\s*$", "", text.strip())
@@ -183,7 +230,7 @@ def cleaned(text: str) -> str:
 def comments(text: str, language: str, least: int = MIN_COMMENT, most: int = MAX_COMMENT) -> list[Comment]:
     """Doc comments with the symbol that they belong to: docstrings of Python, /** blocks
     and runs of /// elsewhere; too short or too long ones are left out."""
-    out = []
+    out, sizes = [], []
     if language == "python":
         try:
             tree = ast.parse(text)
@@ -192,7 +239,9 @@ def comments(text: str, language: str, least: int = MIN_COMMENT, most: int = MAX
         for n in ast.walk(tree):
             if isinstance(n, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and (doc := ast.get_docstring(n)):
                 at = n.body[0]
-                out.append(Comment(doc, at.lineno, at.end_lineno, "docstring", getattr(n, "name", None), tags_of(doc, "python")))
+                body, tags = _docstring(doc)
+                out.append(Comment(body, at.lineno, at.end_lineno, "docstring", getattr(n, "name", None), tags))
+                sizes.append(len(doc))
     else:
         lines = text.split("\n")
         for m in re.finditer(r"/\*\*(?!/)[\s\S]*?\*/|(?:^[ \t]*///.*\n?)+", text, re.M):
@@ -203,9 +252,10 @@ def comments(text: str, language: str, least: int = MIN_COMMENT, most: int = MAX
             if name is None and (k := re.match(r"\s*(?:export\s+)?(?:const|let|var|pub|public|private|static|type)\s+(?:\w+\s+)*?(\w+)\s*[=(:]", after)):
                 name = k[1]
             body = cleaned(m[0])
-            out.append(Comment(body, first, last, "doc", name, tags_of(body)))
-    out.sort(key=lambda c: c.start_line)
-    return [c for c in out if least <= len(c.text) <= most]
+            out.append(Comment(without_tags(body), first, last, "doc", name, tags_of(body)))
+            sizes.append(len(body))
+    kept = [c for c, n in zip(out, sizes, strict=True) if least <= n <= most]
+    return sorted(kept, key=lambda c: c.start_line)
 
 
 def comment_text(c: Comment) -> str:

@@ -19,7 +19,10 @@ def _udf(function, returns: str):
 
 def _pieces_of(path: pd.Series, text: pd.Series, strategy: pd.Series) -> pd.Series:
     def of(p, t, s):
-        found = splitters.chunks(t or "", p or "", language_of(p or ""), s)
+        try:
+            found = splitters.chunks(t or "", p or "", language_of(p or ""), s)
+        except splitters.TooManyChunks:
+            return []  # the file stays out of the index; every other goes on
         return [(c.text, c.start_line, c.end_line, c.type, c.name, c.parent, c.signature, c.docstring, list(c.tags)) for c in found]
 
     names = ["text", "start_line", "end_line", "type", "name", "parent", "signature", "docstring", "tags"]
