@@ -167,7 +167,8 @@ def test_merkle(spark):
     assert dict((r.path, r.hash) for r in files.collect())["d/f"] == want
     dirs = state.merkle_directories(files)
     assert dict((r.directory, r.hash) for r in dirs.collect())["d"] == h(f"f:{want}")
-    assert state.same_root(state.merkle_root(dirs), state.merkle_root(dirs))
+    by = {r.path: r.hash for r in files.collect()}
+    assert state.merkle_root(files).first()["hash"] == h(f"d/f:{by['d/f']}|g:{by['g']}") and state.same_root(state.merkle_root(files), state.merkle_root(files.repartition(3)))
     assert rows(state.duplicate_chunks(chunks), "copies", "files") == [(2, 2)]
     assert state.merkle_diff(files, files).count() == 0
 

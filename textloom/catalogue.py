@@ -149,6 +149,13 @@ def fts_prefix(spark, d):
     return fts.matching(fts.Index.of(_docs(spark, d)), "thes*")
 
 
+@register(f"""WITH {TERMS_SQL}, h AS (SELECT id, dl, sum(tf) AS tf FROM post WHERE starts_with(term, 'thes') GROUP BY id, dl), df AS (SELECT count(*) AS df FROM h),
+    s AS (SELECT id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h, df, tot)
+    {_RANK_SQL}""")
+def fts_prefix_search(spark, d):
+    return _ranked(fts.search(_docs(spark, d), "thes*", 10))
+
+
 @register("SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ')")
 def fts_phrase(spark, d):
     docs = _docs(spark, d)
@@ -304,9 +311,9 @@ def merkle_directories(spark, d):
     return state.merkle_directories(merkle_files(spark, d))
 
 
-@register(f"WITH {_MERKLE_SQL} SELECT sha256(string_agg(directory || ':' || hash, '|' ORDER BY directory)) AS hash, sum(files)::BIGINT AS files FROM dirs")
+@register(f"WITH {_MERKLE_SQL} SELECT sha256(string_agg(path || ':' || hash, '|' ORDER BY path)) AS hash, count(*) AS files FROM f")
 def merkle_root(spark, d):
-    return state.merkle_root(merkle_directories(spark, d))
+    return state.merkle_root(merkle_files(spark, d))
 
 
 @register(f"WITH {_DELTA_SQL} SELECT path, status FROM delta WHERE status <> 'unchanged'")

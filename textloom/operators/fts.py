@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,7 +76,12 @@ def tfidf_scores(index: Index, query: str) -> DataFrame:
 def bm25_scores(index: Index, query: str | TermQuery, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score): Okapi BM25 over the query's words. Positive: larger is better."""
     q = parse_terms(query) if isinstance(query, str) else query
-    hits = _with_df(index.hits(sorted(set(q.positive)))).join(F.broadcast(index.totals))
+    hits = index.hits(sorted(set(q.positive)))
+    for p in dict.fromkeys(q.prefixes):
+        # all terms that begin so count as one
+        begins = index.postings.where(F.col("term").startswith(p)).groupBy("id", "dl").agg(F.sum("tf").alias("tf"))
+        hits = hits.union(begins.select(F.lit(f"{p}*").alias("term"), "id", "tf", "dl"))
+    hits = _with_df(hits).join(F.broadcast(index.totals))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     tf = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
     return _summed(hits, idf * tf)
@@ -138,14 +144,65 @@ def ranked(scores: DataFrame, k: int, rank: str = "rank") -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, k: int = 10, scorer: str = "bm25", index: Index | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, score, rank). A blank query finds nothing."""
-    index = index or Index.of(docs, id_col, text_col)
+    """(id, score, rank). A blank query finds nothing. With an index its postings are read,
+    without one the texts."""
+    if index is None:
+        return ranked(_scanned(docs, query, scorer, id_col, text_col), k)
     if scorer == "tfidf":
         return ranked(tfidf_scores(index, query), k)
     q = parse_terms(query)
     return ranked(bm25_scores(index, q).join(matching(index, q, docs, id_col, text_col), "id", "left_semi"), k)
 
 
+def _scanned(docs: DataFrame, query: str, scorer: str, id_col: str, text_col: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) without an index: each text counts the query's words where it lies. One
+    aggregate gives the corpus's numbers, which are one row; no text and no posting moves."""
+    q = TermQuery(must=tuple(dict.fromkeys(tokens_plain(query)))) if scorer == "tfidf" else parse_terms(query)
+    words = [*sorted(set(q.positive)), *dict.fromkeys(q.prefixes)]
+    starts = len(set(q.positive))
+    rows = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+
+    def times(w: str, begins: bool = False) -> Column:
+        return F.size(F.filter("terms", lambda t: t.startswith(w) if begins else t == w)).cast("long")
+
+    counted = rows.select("id", F.size("terms").cast("long").alias("dl"), *[times(w, k >= starts).alias(f"t{k}") for k, w in enumerate(words)], *([F.col("terms")] if q.phrases or q.near or q.never else []))
+    totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(words))])
+    if not words:
+        return counted.limit(0).select("id", F.lit(0.0).alias("score"))
+    has = {w: F.col(f"t{k}") > 0 for k, w in enumerate(words[:starts])}
+    keep = F.lit(True)
+    if scorer == "tfidf":
+        keep = functools.reduce(lambda a, c: a | c, has.values())
+    else:
+        for w in q.must:
+            keep = keep & has[w]
+        for group in q.any_of:
+            keep = keep & functools.reduce(lambda a, c: a | c, [has[w] for w in group])
+        for k in range(starts, len(words)):
+            keep = keep & (F.col(f"t{k}") > 0)
+        if q.never:
+            keep = keep & ~F.arrays_overlap("terms", F.array(*map(F.lit, q.never)))
+        text = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" ")) if q.phrases else None
+        for p in q.phrases:
+            keep = keep & text.contains(f" {' '.join(p)} ")
+        for x, y, n in q.near:
+            keep = keep & _near(x, y, n)
+    # terms are added in their order
+    order = sorted(range(len(words)), key=lambda k: words[k] + "*" * (k >= starts))
+    plain = tokens_plain(query)
+    score = F.lit(0.0)
+    for k in order:
+        tf, df = F.col(f"t{k}"), F.col(f"d{k}")
+        if scorer == "tfidf":
+            part = tf * (1.0 + F.log(F.col("n") / (1.0 + df))) * plain.count(words[k])
+        else:
+            idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+            part = idf * (tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))))
+        score = score + F.when(tf > 0, part).otherwise(0.0)
+    scored = counted.where(keep).join(F.broadcast(totals)).select("id", score.alias("score"))
+    return scored.where("score > 0") if scorer == "tfidf" else scored
+
+
 def substring_search(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Texts that contain the query, ASCII case aside, all of score 1; by id."""
     return docs.where(F.lower(F.col(text_col)).contains(query.lower())).select(F.col(id_col).alias("id"), F.lit(1.0).alias("score")).orderBy("id").limit(k)

@@ -70,7 +70,7 @@ def updated_spans(chunks: DataFrame, diff: DataFrame) -> DataFrame:
 
 
 # Merkle hashes: of a chunk its span and text, of a file its chunks' in order, of a
-# directory and of the project "name:hash" of the children by name.
+# directory "name:hash" of its files by name, of the project "path:hash" of all files by path.
 
 
 def merkle_chunks(chunks: DataFrame) -> DataFrame:
@@ -93,10 +93,10 @@ def merkle_directories(files: DataFrame) -> DataFrame:
     return parts.groupBy("directory").agg(_children(F.col("name"), F.col("hash")).alias("hash"), F.count("*").alias("files"))
 
 
-def merkle_root(directories: DataFrame) -> DataFrame:
-    """One row. Its input has a row per directory, not per file, so that the last
-    step, which must see them all, sees little."""
-    return directories.agg(_children(F.col("directory"), F.col("hash")).alias("hash"), F.sum("files").alias("files"))
+def merkle_root(files: DataFrame) -> DataFrame:
+    """One row: the hash over every file's path and hash, and their number. The hash runs
+    over all of them in order, so its last step sees a path and a hash of each file."""
+    return files.agg(_children(F.col("path"), F.col("hash")).alias("hash"), F.count("*").alias("files"))
 
 
 def merkle_diff(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
