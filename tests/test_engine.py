@@ -121,3 +121,46 @@ def test_switch():
 
     s, q = stream.Strategies(), Q()
     assert s.switch("lazy", lambda: q) and not s.switch("lazy", lambda: None) and s.switch("git", Q) and q.stopped
+
+
+def test_a_change_rewrites_the_buckets_it_touches_alone(spark, tmp_path):
+    import os
+
+    from textloom.sources.store import ChunkStore
+
+    root = f"{tmp_path}/s"
+    store = ChunkStore(spark, f"file://{root}", buckets=8)
+    schema = "id string, path string, text string, vector array<double>"
+    store.write(spark.createDataFrame([(f"i{k}", f"p{k}", f"text {k}", [float(k)]) for k in range(40)], schema))
+    before = store.folders()
+    new = spark.createDataFrame([("n", "p3", "new text", [9.0])], schema)
+    store.replace_paths(spark.createDataFrame([("p3",)], "path string"), new)
+    after = store.folders()
+    moved = [b for b in after if after[b] != before[b]]
+    assert len(moved) == 1 and store.of_path("p3").first().text == "new text" and store.read().count() == 40
+    assert {r.id: list(r.vector) for r in store.read().where("path <> 'p3'").collect()} == {f"i{k}": [float(k)] for k in range(40) if k != 3}
+    assert os.path.isdir(f"{root}/{before[moved[0]]}")  # for readers of the version before
+    store.append(spark.createDataFrame([("a", "another", "x", None)], schema))
+    assert not os.path.isdir(f"{root}/{before[moved[0]]}") and store.read().count() == 41
+    assert store.delete_paths(["another", "p5"]) == 2 and store.delete_paths(["nowhere"]) == 0 and store.read().count() == 39
+    store.delete_ids(spark.createDataFrame([(f"i{k}",) for k in range(40)] + [("n",)], "id string"))
+    assert store.read().count() == 0 and store.read().columns == ["id", "path", "text", "vector"]
+    assert [x for x in os.listdir(root) if x.startswith("current.json.")] == []
+
+
+def test_prefix_search_and_dropping_all(spark, tmp_path):
+    from textloom.operators import fts
+    from textloom.plans.engine import Config, Engine
+
+    docs = spark.createDataFrame([(1, "a thesis on these things"), (2, "nothing here"), (3, "thesaurus")], "id long, text string")
+    plain = {(r.id, round(r.score, 9), r["rank"]) for r in fts.search(docs, "thes*").collect()}
+    assert {x[0] for x in plain} == {1, 3} and plain == {(r.id, round(r.score, 9), r["rank"]) for r in fts.search(docs, "thes*", index=fts.Index.of(docs)).collect()}
+    for q in ("thesis OR thesaurus", "these NOT nothing", '"these things"', "NEAR(thesis things, 3)", "nothing here", ""):
+        for scorer in ("bm25", "tfidf"):
+            a, b = (sorted((r.id, round(r.score, 9)) for r in fts.search(docs, q, scorer=scorer, index=i).collect()) for i in (None, fts.Index.of(docs)))
+            assert a == b, (q, scorer)
+    engine = Engine(spark, f"file://{tmp_path}/e", Config())
+    engine.build(spark.createDataFrame([("a.py", "x = 1\n", "h")], "path string, text string, content_hash string"))
+    assert engine.status().first().status == "ready"
+    engine.drop()
+    assert engine.status().first().status == "not_found"

@@ -143,8 +143,9 @@ class Engine:
         return self.build(files)
 
     def drop(self) -> None:
-        for s in (self.code, self.docs, self.prints):
-            s.drop()
+        """Chunks, postings, fingerprints and metadata go: the status is not_found."""
+        fs, p = self.code._fs(self.root)
+        fs.delete(p, True)
 
     # searching
 
