@@ -94,6 +94,7 @@ def test_line_rules():
     assert f("one two three four five six seven eight nine - ten.") is None
     assert f("BUY!! NOW!! CHEAP!!") == "punctuation" and f("short one") == "punctuation" and f("Short one.") is None
     assert f("Please accept our Cookie settings to go on here.") == "boilerplate"
+    assert f("Please see the catalog in the library.") is None and f("You may log in here now, dear reader.") == "boilerplate"
     text = "Good line with several words.\nhome | news | about\nAnother good one follows here."
     assert rules.clean(text) == ("Good line with several words.\nAnother good one follows here.", 5)
     assert rules.measures("") == (0, 0, 0, 0, 0)

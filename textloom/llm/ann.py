@@ -267,6 +267,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
 
 
 def op1_scann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each query; see ``search`` for vectors that take no part, ties and repeated rows."""
     return search(table(spark, sf_dir, "embeddings"))
 
 

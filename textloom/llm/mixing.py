@@ -114,6 +114,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share; see ``mix`` for nulls, empty texts and repeated rows."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 

@@ -6,7 +6,7 @@ Each line of a text (parted at \\n) is judged by itself, in this order:
   (``| > » • · / -`` alone or repeated);
 * punctuation: over half of its words end in two or more of ``! ? # * $ % & | < >``,
   or the line has fewer than five words and does not end like a sentence;
-* boilerplate: at most twenty words, with a phrase of the list below.
+* boilerplate: at most twenty words, with a phrase of the list below that begins a word.
 
 Lines that fail go. A document that so loses more than half of its words is
 rejected; so is one that fails the base rules (fewer than fifty words, or over
@@ -28,13 +28,13 @@ SEPARATOR = r"[|>»•·/-]+"
 NOISY = r"[!?#*$%&|<>]{2,}$"
 SENTENCE_END = r"""[.!?…:;"'”’»)\]]$"""
 BOILERPLATE = (
-    r"cookie|javascript|lorem ipsum|all rights reserved|privacy policy|terms of use|terms of service"
-    r"|subscribe|newsletter|sign up|log in|click here|read more|share this|back to top"
+    r"\b(?:cookie|javascript|lorem ipsum|all rights reserved|privacy policy|terms of use|terms of service"
+    r"|subscribe|newsletter|sign up\b|log in\b|click here|read more|share this|back to top)"
 )
 MIN_WORDS, LEAST_KEPT = 50, 0.5
 _SYMBOLS = b"#*$%&|<>"
 _separator, _noisy = re.compile(SEPARATOR), re.compile(NOISY)
-_end, _boilerplate = re.compile(SENTENCE_END), re.compile(BOILERPLATE)
+_end, _boilerplate = re.compile(SENTENCE_END), re.compile(BOILERPLATE, re.ASCII)
 
 
 def fails(line: str, words: list[str]) -> str | None:
@@ -115,6 +115,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict; see ``judge`` for nulls, empty texts and repeated rows."""
     return judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
@@ -130,7 +131,7 @@ k AS (SELECT rid, line, len(w) AS n,
         len(list_filter(w, lambda x: regexp_full_match(x, '[|>»•·/-]+'))) AS seps,
         len(list_filter(w, lambda x: regexp_matches(x, '[!?#*$%&|<>]{2,}$'))) AS noisy,
         regexp_matches(w[-1], '[.!?…:;"''”’»)\]]$') AS ends,
-        regexp_matches(lower(line), 'cookie|javascript|lorem ipsum|all rights reserved|privacy policy|terms of use|terms of service|subscribe|newsletter|sign up|log in|click here|read more|share this|back to top') AS boiler
+        regexp_matches(lower(line), '\b(?:cookie|javascript|lorem ipsum|all rights reserved|privacy policy|terms of use|terms of service|subscribe|newsletter|sign up\b|log in\b|click here|read more|share this|back to top)') AS boiler
       FROM l WHERE len(w) > 0),
 s AS (SELECT rid, count(*) - count(DISTINCT line) AS dups,
         sum(CASE WHEN (seps >= 2 AND 4 * seps >= n) OR 2 * noisy > n OR (n < 5 AND NOT ends) OR (n <= 20 AND boiler) THEN n ELSE 0 END) AS lost

@@ -175,4 +175,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts; see ``token_counts`` for nulls, empty texts and repeated rows."""
     return token_counts(table(spark, sf_dir, "documents"))
