@@ -57,6 +57,21 @@ def test_search(spark):
     assert ann.search(v.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_search_is_the_same_over_any_grid(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(4_000)], "vec_id long, embedding array<double>").repartition(5).cache()
+    one = got(ann.search(v, every=10, rerank=20))
+    assert ann.grid(4_000, 2, 7, 4) == (1, 4) and len(one) == 5 * 400
+    for most in (20_000, 9_000):  # bytes a stripe: 2 and 5 stripes, blocks until each core has a cell
+        monkeypatch.setattr(ann, "STRIPE_BYTES", most)
+        assert ann.grid(4_000, 2, 7, 4)[0] == -(-40_000 // most)
+        assert got(ann.search(v, every=10, rerank=20)) == one
+    # codes travel once a block, and blocks do not grow with the rows
+    monkeypatch.undo()
+    stripes, blocks = ann.grid(1_000_000_000, 16, 312_500, 1_000)
+    assert stripes * 16 < 10_000 and blocks == -(-1_000 // stripes)
+
+
 def test_rules_match_the_sql(docs):
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept")
     assert got(rules.judge(docs), *cols) == oracle(docs, rules.OP3_SQL, *cols)

@@ -4,9 +4,9 @@ Vectors are scaled to unit length, so the inner product is the cosine. A product
 quantiser with 16 centroids (four bits) per two components is fitted on a bounded
 sample with the anisotropic loss: the part of the residual parallel to the vector,
 which changes inner products with the queries that matter, weighs ``eta`` times
-the rest. Every row is then encoded, a query block scans the codes of a stripe of
-rows by table lookups, and the best candidates are scored again on the original
-vectors.
+the rest. Every row is then encoded, a task holds the codes of a stripe of rows and
+lets the queries walk past, each scanning the stripe by table lookups, and the best
+candidates are scored again on the original vectors.
 
 Equal vectors are one entry of the index with their smallest ids, so a vector
 that a third of all rows share fills one candidate's place and one row.
@@ -17,17 +17,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, bounded_sample, stash, table
+from ._common import BATCH_ROWS, bounded_batches, bounded_sample, stash, table
 
 SAMPLE = 20_000  #: rows that fit the quantiser, by hash of the id
 DSUB, CENTROIDS = 2, 16
-STRIPE = 1 << 18  #: entries whose codes one task scans
-BLOCK = 256  #: queries that one task scans them for
+STRIPE_BYTES = 64 << 20  #: codes and ids that one task holds
+PACK = 64  #: queries that travel as one row
 RERANK = 256  #: candidates per query and stripe, and after the merge
 
 
@@ -119,6 +118,14 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def grid(n: int, width: int, packs: int, cores: int) -> tuple[int, int]:
+    """(stripes, blocks): as few stripes as memory allows, for every query goes to each
+    and brings candidates back; then blocks of queries until all cores have a cell. Codes
+    are sent once per block: at most ``cores`` times, however many rows and queries there are."""
+    stripes = max(1, -(-n * (width + 8) // STRIPE_BYTES))
+    return stripes, max(1, min(packs, -(-cores // stripes)))
+
+
 def _matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, matrix in double precision) of the vectors that take part."""
     v = column.to_pylist()
@@ -209,14 +216,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     model = picked.coalesce(1).mapInArrow(fitted, "books binary, eta double").first()
     books, eta = np.frombuffer(model["books"]).reshape(-1, CENTROIDS, DSUB), model["eta"]
 
-    stripes = -(-n // STRIPE)
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = encode(padded(batch.column(1).to_pylist()), books, eta)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in codes], pa.binary())], names=["entry", "code"])
-
-    codes = entries.select("entry", "v").mapInArrow(encoded, "entry long, code binary").withColumn("stripe", F.pmod(F.xxhash64("entry"), F.lit(stripes)))
+    width = len(books) // 2 + len(books) % 2
     # Queries are original rows: any row of an entry, not its smallest ids alone.
     asked = rows.where(F.col("id") % every == 0)
 
@@ -227,32 +227,81 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[at]), pa.array([x.tobytes() for x in m], pa.binary())], names=["query_id", "q"])
 
     queries = stash(asked.mapInArrow(keyed, "query_id long, q binary").dropDuplicates(), "queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    every_stripe, every_block = (F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) for n in (stripes, blocks))
-
-    def scanned(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "q": [], "entries": [], "near": []})
-        ids = left["entry"].to_numpy()
-        packed = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(ids), -1).T.copy()
-        found, near = [], []
-        for x in padded(right["q"]):
-            s = scan(packed, tables(x, books))
-            at = best(s, ids, rerank)
-            found.append(ids[at])
-            near.append(s[at])
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy(), "q": right["q"].to_numpy(), "entries": found, "near": near})
-
-    cells = (
-        codes.withColumn("block", F.explode(every_block)).groupBy("stripe", "block")
-        .cogroup(queries.withColumn("stripe", F.explode(every_stripe)).groupBy("stripe", "block"))
-        .applyInPandas(scanned, "query_id long, q binary, entries array<bigint>, near array<float>")
-    )
-    # each stripe's candidates are in order already; the merge keeps the best of all
-    pairs = cells.select("query_id", "q", F.arrays_zip(F.expr("transform(near, x -> -x)").alias("far"), F.col("entries").alias("entry")).alias("c"))
-    merged = pairs.groupBy("query_id", "q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, rerank).alias("c"))
-    flat = merged.select("query_id", "q", F.explode("c.entry").alias("entry"))
+    stripes, blocks = grid(n, width, -(-queries.count() // PACK), spark.sparkContext.defaultParallelism)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch's codes are one row; any row may go to any stripe
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(ids), BATCH_ROWS):
+                codes = encode(padded(batch.column(1)[k : k + BATCH_ROWS].to_pylist()), books, eta)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]]), pa.array([ids[k : k + BATCH_ROWS].tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["first", "ids", "body"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(ids), PACK):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]]), pa.array([ids[k : k + PACK].tobytes()], pa.binary()), pa.array([b"".join(batch.column(1)[k : k + PACK].to_pylist())], pa.binary())], names=["first", "ids", "body"])
+
+    pack = "first long, ids binary, body binary"
+    own_stripe, own_block = (F.pmod(F.xxhash64("first"), F.lit(x)) for x in (stripes, blocks))
+    every_stripe, every_block = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long"))) for x in (stripes, blocks))
+    held = entries.select("entry", "v").mapInArrow(encoded, pack).select(own_stripe.alias("stripe"), every_block.alias("block"), F.lit(0).alias("kind"), "ids", "body")
+    walking = queries.mapInArrow(packed, pack).select(every_stripe.alias("stripe"), own_block.alias("block"), F.lit(1).alias("kind"), "ids", "body")
+    cells = held.unionByName(walking).withColumn("cell", (F.col("stripe") * blocks + F.col("block")).cast("int"))
+    # the codes of a cell come first: a task holds one stripe and one pack of queries
+    cells = cells.repartitionById(stripes * blocks, F.col("cell")).sortWithinPartitions("cell", "kind").select("cell", "kind", "ids", "body")
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, kept, ids, codes = None, [], None, None
+        for batch in batches:
+            for c, kind, i, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != cell:
+                    cell, kept, ids, codes = c, [], None, None
+                if not kind:
+                    kept.append((i, body))
+                    continue
+                if codes is None:
+                    ids = np.frombuffer(b"".join(x for x, _ in kept), np.int64)
+                    codes = np.frombuffer(b"".join(x for _, x in kept), np.uint8).reshape(len(ids), width).T.copy()
+                    kept = []
+                if not len(ids):
+                    continue
+                q = np.frombuffer(body, np.float64).reshape(-1, dim)
+                found, near = [], []
+                for x in padded([body]):
+                    s = scan(codes, tables(x, books))
+                    at = best(s, ids, rerank)
+                    found.append(ids[at].tobytes())
+                    near.append(s[at].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(i, np.int64)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(found, pa.binary()), pa.array(near, pa.binary())], names=["query_id", "q", "entries", "near"])
+
+    lists = cells.mapInArrow(scanned, "query_id long, q binary, entries binary, near binary")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a query's lists follow each other; the best so far is all that is held of them
+        key, ids, near = None, None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.binary()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["query_id", "q", "entries"])
+
+        for batch in batches:
+            for query_id, q, e, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                e, s = np.frombuffer(e, np.int64), np.frombuffer(s, np.float32)
+                if (query_id, q) != key:
+                    if key is not None:
+                        yield out()
+                    key, ids, near = (query_id, q), e, s
+                    continue
+                ids, near = np.concatenate((ids, e)), np.concatenate((near, s))
+                at = best(near, ids, rerank)
+                ids, near = ids[at], near[at]
+        if key is not None:
+            yield out()
+
+    if stripes > 1:
+        lists = lists.repartition("query_id", "q").sortWithinPartitions("query_id", "q")
+    flat = lists.mapInArrow(merged, "query_id long, q binary, entries array<bigint>").select("query_id", "q", F.explode("entries").alias("entry"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
