@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .functions import query
 from .functions import text as T
 from .operators import chunking, evaluation, fts, fusion, paths, policy, queries, ranking, results, state, vector
+from .plans.engine import Config, Engine
+from .sources.store import ChunkStore, lookup, read_json, work_folder, write_json
 from .streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +96,26 @@ def ivf_search(spark, d):
     return index.search(_query_vector(spark, d), 10, probes=8).select("id", F.round("distance", 6).alias("distance"))
 
 
+def _stored_cells(spark, d) -> vector.InvertedFile:
+    path = work_folder(spark, "ivf")
+    vector.InvertedFile.build(_vectors(spark, d), partitions=16).write(path)
+    return vector.InvertedFile.read(spark, path)
+
+
+@register(_topk_sql(L2))
+def ivf_search_all_cells(spark, d):
+    """The stored index read back; with every cell probed it is exact."""
+    found = _stored_cells(spark, d).search(_query_vector(spark, d), 10, probes=16)
+    return found.select("id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+@register("SELECT count(*) AS chunks, 16 AS cells, count(*) AS assigned FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0")
+def ivf_info(spark, d):
+    index = _stored_cells(spark, d)
+    info = index.info()
+    return index.cells.agg(F.lit(info["chunk_count"]).cast("long").alias("chunks"), F.lit(info["num_partitions"]).alias("cells"), F.count("*").alias("assigned"))
+
+
 # keyword search
 
 TERMS_SQL = """terms AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents),
@@ -162,6 +184,33 @@ def fts_phrase(spark, d):
     return fts.matching(fts.Index.of(docs), '"of the"', docs)
 
 
+@register(_bm25_sql(["para", "la"], "SELECT id FROM post WHERE term IN ('para', 'la') GROUP BY id HAVING count(*) = 2"))
+def fts_stored_search(spark, d):
+    """Postings written, read back and searched; ids are strings on disk."""
+    docs, path = _docs(spark, d), work_folder(spark, "fts")
+    fts.Index.of(docs.withColumn("id", F.format_string("%012d", "id"))).write(path)
+    found = fts.search(docs, "para la", 10, index=fts.Index.read(spark, path))
+    return found.select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"), "rank")
+
+
+@register("""SELECT doc_id AS id, sha256(CASE WHEN doc_id % 4 = 0 THEN 'changed words ' || doc_id ELSE coalesce(text, '') END) AS hash FROM documents WHERE doc_id % 6 <> 0
+    UNION ALL SELECT doc_id + 10000000 AS id, sha256('added') AS hash FROM documents WHERE doc_id % 50 = 0""")
+def fts_upsert(spark, d):
+    docs = _docs(spark, d)
+    ids = docs.select("id")
+    changes = ids.where("id % 4 = 0").select("id", F.concat(F.lit("changed words "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("seq"))
+    changes = changes.unionByName(ids.where("id % 6 = 0").select("id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("seq")))
+    changes = changes.unionByName(ids.where("id % 50 = 0").select((F.col("id") + 10_000_000).alias("id"), F.lit("added").alias("text"), F.lit(1).alias("seq")))
+    return fts.upsert(docs, changes).select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+
+
+@register(f"WITH {TERMS_SQL} SELECT count(*) AS n, round(avg(len(ts)), 6) AS avgdl FROM terms WHERE id % 3 <> 0 AND len(ts) > 0")
+def fts_remove(spark, d):
+    docs = _docs(spark, d)
+    left = fts.Index.of(docs).remove(docs.where("id % 3 = 0").select("id"))
+    return left.totals.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @register("SELECT doc_id AS id, 1.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'license') ORDER BY id LIMIT 50")
 def fts_substring(spark, d):
     return fts.substring_search(_docs(spark, d), "License", 50)
@@ -179,6 +228,13 @@ def minmax_normalise(spark, d):
     return fts.minmax(s).select("id", F.round("score", 6).alias("score"))
 
 
+@register("""WITH s AS (SELECT doc_id AS id, -n_chars::DOUBLE AS score FROM documents), e AS (SELECT min(score) AS a, max(score) AS b FROM s)
+    SELECT id, round(CASE WHEN a = b THEN 1 ELSE (score - a) / (b - a) END, 6) AS score FROM s, e""")
+def minmax_negated(spark, d):
+    s = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
+    return fts.minmax(s, negate=True).select("id", F.round("score", 6).alias("score"))
+
+
 # fusion
 
 _LISTS_SQL = f"""q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7),
@@ -350,7 +406,7 @@ def debounce_events(spark, d):
 
 @register(f"WITH e AS ({_EVENTS}) SELECT path, max(seq) AS seq, max_by(event_type, seq) AS op FROM e GROUP BY path")
 def keep_latest(spark, d):
-    return _events(spark, d).groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"))
+    return stream.latest(_events(spark, d))
 
 
 # policy, paths
@@ -557,13 +613,106 @@ def config_summary(spark, d):
 
 @register("SELECT count(*) AS chunks, count(DISTINCT path) AS files FROM (SELECT source || '/' || doc_id || '.' || lang AS path FROM documents)")
 def store_counts(spark, d):
-    return _files(spark, d).agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files"))
+    return _stored(spark, d).counts()
+
+
+def _stored(spark, d) -> ChunkStore:
+    """Half of the files as one chunk each, the other half appended."""
+    rows = _files(spark, d).select(F.col("doc_id").alias("id"), "path", "text", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    store = ChunkStore(spark, work_folder(spark, "store"), 8)
+    store.write(rows.where("id % 2 = 0"))
+    store.append(rows.where("id % 2 <> 0"))
+    return store
+
+
+@register(f"WITH {FILES_SQL} SELECT doc_id AS id, path, sha256(text) AS hash FROM files")
+def store_append(spark, d):
+    return _stored(spark, d).read().select("id", "path", F.sha2("text", 256).alias("hash"))
+
+
+@register(f"WITH {FILES_SQL} SELECT doc_id AS id, path FROM files WHERE path = (SELECT path FROM files WHERE doc_id = 14)")
+def store_of_path(spark, d):
+    path = _files(spark, d).where("doc_id = 14").first()["path"]
+    return _stored(spark, d).of_path(path).select("id", "path")
+
+
+@register(f"WITH {FILES_SQL} SELECT doc_id AS id, path FROM files WHERE doc_id % 7 <> 0 AND doc_id NOT IN (8, 15, 23)")
+def store_delete(spark, d):
+    store = _stored(spark, d)
+    store.delete_ids(store.read().where("id % 7 = 0").select("id"))
+    store.delete_paths([r.path for r in _files(spark, d).where("doc_id IN (8, 15, 23)").collect()])
+    return store.read().select("id", "path")
+
+
+@register(f"WITH {FILES_SQL} SELECT doc_id AS id, path, sha256(CASE WHEN doc_id % 5 = 0 THEN 'replaced' ELSE text END) AS hash FROM files WHERE doc_id % 11 <> 0")
+def store_replace(spark, d):
+    store = _stored(spark, d)
+    rows = store.read()
+    gone = rows.where("id % 5 = 0 OR id % 11 = 0").select("path")
+    store.replace_paths(gone, rows.where("id % 5 = 0 AND id % 11 <> 0").withColumn("text", F.lit("replaced")))
+    return store.read().select("id", "path", F.sha2("text", 256).alias("hash"))
+
+
+@register("SELECT doc_id, source, n_chars FROM documents")
+def sidecar_roundtrip(spark, d):
+    path = work_folder(spark, "sidecar")
+    rows = _t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    write_json(rows, path)
+    return read_json(spark, path, rows.schema)
+
+
+# the engine
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.select("path", "text", F.sha2("text", 256).alias("content_hash"))
+
+
+def _built(spark, d) -> Engine:
+    engine = Engine(spark, work_folder(spark, "engine"), Config(extract_comments=False))
+    engine.build(_hashed(_snapshots(spark, d)[0]))
+    return engine
+
+
+@register(f"WITH {_DELTA_SQL} SELECT status, count(*) AS files FROM delta GROUP BY status")
+def engine_reconcile(spark, d):
+    """The first snapshot indexed, then brought up to the second: what changed."""
+    return _built(spark, d).apply(_hashed(_snapshots(spark, d)[1]))
+
+
+@register(f"""WITH {_DELTA_SQL}, s AS (SELECT path, 'fingerprint' AS kind, hash FROM b)
+    SELECT kind, path, hash FROM s UNION ALL SELECT 'chunks' AS kind, path, NULL AS hash FROM b WHERE hash <> sha256('')""")
+def engine_index_after_reconcile(spark, d):
+    """Fingerprints and the files that have chunks once the index is up to the second snapshot."""
+    engine = _built(spark, d)
+    engine.apply(_hashed(_snapshots(spark, d)[1]))
+    prints = engine.prints.read().select(F.lit("fingerprint").alias("kind"), "path", "hash")
+    chunks = engine.code.read().select(F.lit("chunks").alias("kind"), "path", F.lit(None).cast("string").alias("hash")).distinct()
+    return prints.unionByName(chunks)
+
+
+@register("SELECT 'ready' AS status, count(*) AS files FROM documents")
+def engine_status(spark, d):
+    return _built(spark, d).status().select("status", "files")
+
+
+@register(f"WITH {FILES_SQL} SELECT path, sha256(CASE WHEN doc_id = 14 THEN 'one new text' ELSE text END) AS hash FROM files WHERE doc_id <> 15")
+def engine_reindex_file(spark, d):
+    """One file's text changed and one file gone, each by its path."""
+    engine, files = _built(spark, d), _files(spark, d)
+    new = _hashed(files.where("doc_id <> 15").withColumn("text", F.when(F.col("doc_id") == 14, "one new text").otherwise(F.col("text"))))
+    for r in files.where("doc_id IN (14, 15)").select("path").collect():
+        engine.reindex_file(new, r.path)
+    return engine.prints.read().select("path", "hash")
+
+
+@register(f"WITH {FILES_SQL}, m AS (SELECT DISTINCT path FROM files WHERE regexp_matches(path, '^src1[^/]*/[^/]*\\.(en|de)$')) SELECT path, (SELECT count(*) FROM m) AS total_matches FROM m ORDER BY path LIMIT 20")
+def engine_paths(spark, d):
+    return _built(spark, d).paths("src1*/*.{en,de}", 20)
 
 
 @register("SELECT doc_id AS id, source || '/' || doc_id || '.' || lang AS path FROM documents WHERE doc_id IN (3, 14, 159)")
 def lookup_ids(spark, d):
     ids = spark.createDataFrame([(3,), (14,), (159,), (159,)], "id long")
     rows = _files(spark, d).select(F.col("doc_id").alias("id"), "path", "text", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
-    from .sources.store import lookup
-
     return lookup(rows, ids).select("id", "path")

@@ -160,15 +160,27 @@ def _scanned(docs: DataFrame, query: str, scorer: str, id_col: str, text_col: st
     q = TermQuery(must=tuple(dict.fromkeys(tokens_plain(query)))) if scorer == "tfidf" else parse_terms(query)
     words = [*sorted(set(q.positive)), *dict.fromkeys(q.prefixes)]
     starts = len(set(q.positive))
-    rows = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    text_of = F.coalesce(F.col(text_col), F.lit(""))
 
     def times(w: str, begins: bool = False) -> Column:
         return F.size(F.filter("terms", lambda t: t.startswith(w) if begins else t == w)).cast("long")
 
-    counted = rows.select("id", F.size("terms").cast("long").alias("dl"), *[times(w, k >= starts).alias(f"t{k}") for k, w in enumerate(words)], *([F.col("terms")] if q.phrases or q.near or q.never else []))
+    def counts(of: DataFrame) -> DataFrame:
+        rows = of.select(F.col(id_col).alias("id"), terms(text_of).alias("terms"))
+        return rows.select("id", F.size("terms").cast("long").alias("dl"), *[times(w, k >= starts).alias(f"t{k}") for k, w in enumerate(words)], *([F.col("terms")] if q.phrases or q.near or q.never else []))
+
+    counted = counts(docs)
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(words))])
     if not words:
         return counted.limit(0).select("id", F.lit(0.0).alias("score"))
+    # a term lies in its text as it is, so texts without it need not be cut into terms again
+    within = {w: F.contains(F.lower(text_of), F.lit(w)) for w in words}
+    needed = [[w] for w in q.must] + [list(g) for g in q.any_of] + [[w] for w in words[starts:]]
+    if scorer == "tfidf":
+        needed = [words]
+    for group in needed:
+        docs = docs.where(functools.reduce(lambda a, c: a | c, [within[w] for w in group]))
+    counted = counts(docs)
     has = {w: F.col(f"t{k}") > 0 for k, w in enumerate(words[:starts])}
     keep = F.lit(True)
     if scorer == "tfidf":

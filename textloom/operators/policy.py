@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -70,11 +71,12 @@ def binary_content(content: Column) -> Column:
 
 
 def ignored(path: Column, policy: Policy) -> Column:
-    """The last rule that matches decides; a rule with ! takes a path back in."""
+    """The last rule that matches decides; a rule with ! takes a path back in. A run of
+    rules with one verdict is one pattern, so the plan grows with changes of verdict alone."""
+    rules = [r for base, lines in policy.gitignore for r in gitignore_rules(list(lines), base)]
     out = F.lit(False)
-    for base, lines in policy.gitignore:
-        for ignores, regex in gitignore_rules(list(lines), base):
-            out = F.when(path.rlike(regex), F.lit(ignores)).otherwise(out)
+    for ignores, run in itertools.groupby(rules, key=lambda r: r[0]):
+        out = F.when(path.rlike("|".join(f"(?:{regex})" for _, regex in run)), F.lit(ignores)).otherwise(out)
     return out
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -40,13 +43,20 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     """``top_k`` for a table of queries: query_id, rank, id, distance, score.
 
     The queries are a stated, bounded set (an error above ``most_queries``): they go to
-    every task packed in one row, so the rows are read once and never shuffled. Each row's distances
-    are reduced to k candidates per query by partial aggregation before the exchange.
+    every task packed in one row, so the rows are never shuffled, and are read once for every
+    ``BROADCAST_BYTES`` of queries. Each row's distances are reduced to k candidates per query
+    by partial aggregation before the exchange.
     """
     q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).cast("array<double>").alias("q_v")).where("q_v is not null")
-    n = q.count()
+    n, numbers = q.agg(F.count("*"), F.coalesce(F.sum(F.size("q_v")), F.lit(0))).first()
     if n > most_queries:
         raise ValueError(f"{n} queries: run them in blocks of {most_queries}")
+    blocks = max(1, -(-8 * numbers // BROADCAST_BYTES))
+    of = [q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else q for b in range(blocks)]
+    return functools.reduce(DataFrame.union, [_batch(rows, x, k, metric, id_col, vector_col, query_id) for x in of])
+
+
+def _batch(rows: DataFrame, q: DataFrame, k: int, metric: str, id_col: str, vector_col: str, query_id: str) -> DataFrame:
     packed = q.agg(F.collect_list(F.struct("q_id", "q_v")).alias("qs"))
     v = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
     pairs = v.join(F.broadcast(packed)).select("id", "v", F.explode("qs").alias("q")).where(F.size("q.q_v") == F.size("v"))
@@ -64,37 +74,83 @@ def index_shape(rows: int, dim: int) -> tuple[int, int]:
 
 
 class InvertedFile:
-    """k-means cells as a partition column: a search reads only the cells next to its query."""
+    """k-means cells as a partition column: a search reads only the cells next to its query.
+
+    ``write`` stores it in a folder per cell, so that choice is a static partition filter;
+    a built index that is not written assigns its rows in every search.
+    """
 
-    def __init__(self, centroids: list[list[float]], cells: DataFrame):
-        self.centroids, self.cells = centroids, cells
+    def __init__(self, centroids: list[list[float]], cells: DataFrame, rows: int):
+        self.centroids, self.cells, self.rows = centroids, cells, rows
 
     @classmethod
     def build(cls, rows: DataFrame, vector_col: str = "vector", partitions: int | None = None, sample: int = 50_000, seed: int = 1) -> InvertedFile | None:
-        """None below ten thousand rows unless ``partitions`` is given. Centroids are fitted
-        on a bounded sample; every row is assigned, in one pass without a shuffle."""
+        """None below ten thousand rows unless ``partitions`` is given, and without any vector.
+        Centroids are fitted on a bounded sample; every row is assigned, in one pass without a
+        shuffle. Rows without a vector, or with one of another dimension than the most
+        frequent, have no cell."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        n = rows.count()
+        sizes = rows.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("dim")).count()
+        most = sizes.orderBy(F.desc("count"), "dim").first()
+        if most is None or partitions is None and most["count"] < INDEX_LEAST_ROWS:
+            return None
+        n, whole = most["count"], rows.where(F.size(vector_col) == most["dim"])
         if partitions is None:
-            if n < INDEX_LEAST_ROWS:
-                return None
             partitions = index_shape(n, 0)[0]
-        fit = rows.where(F.col(vector_col).isNotNull()).select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
+        fit = whole.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
         if n > sample:
             fit = fit.sample(sample / n, seed=seed)
         centers = [c.tolist() for c in KMeans(k=partitions, seed=seed, maxIter=50).fit(fit).clusterCenters()]
-        return cls(centers, rows.withColumn("ivf_id", cls.cell(centers, vector_col)))
+        return cls(centers, cls.assigned(rows, centers, vector_col), n)
 
     @staticmethod
-    def cell(centers: list[list[float]], vector_col: str):
-        books = F.array(*[V.literal(c) for c in centers])
-        far = F.transform(books, lambda c: V.l2(vector_col, c))
-        return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+    def assigned(rows: DataFrame, centers: list[list[float]], vector_col: str) -> DataFrame:
+        """``rows`` with ``ivf_id``, the nearest centroid's number."""
+        books, place, block = np.array(centers), rows.columns.index(vector_col), 4_096
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column(place).to_pylist()
+                at = [k for k, x in enumerate(vectors) if x is not None and len(x) == books.shape[1] and None not in x]
+                cells: list[int | None] = [None] * len(vectors)
+                for k in range(0, len(at), block):
+                    own = at[k : k + block]
+                    x = np.array([vectors[i] for i in own], np.float64)
+                    near = ((books * books).sum(1) - 2 * x @ books.T).argmin(1)
+                    for i, c in zip(own, near.tolist(), strict=True):
+                        cells[i] = c
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], names=[*batch.schema.names, "ivf_id"])
+
+        schema = rows.withColumn("ivf_id", F.lit(None).cast("int")).schema
+        return rows.mapInArrow(assign, schema)
+
+    def write(self, path: str, **notes: str) -> None:
+        """A folder per cell below ``path``, large cells dealt over tasks; then the centroids
+        with ``notes``: they are the mark of a complete index."""
+        held = self.cells.where("ivf_id is not null")
+        held.repartition("ivf_id", F.pmod(F.xxhash64(*held.columns), F.lit(8))).write.mode("overwrite").partitionBy("ivf_id").parquet(f"{path}/cells")
+        spark = self.cells.sparkSession
+        rows = [(k, c, self.rows, notes) for k, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, self._BOOK).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    _BOOK = "ivf_id int, centroid array<double>, rows long, notes map<string,string>"
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> InvertedFile:
+        book = spark.read.schema(cls._BOOK).parquet(f"{path}/centroids").orderBy("ivf_id").collect()
+        out = cls([r.centroid for r in book], spark.read.parquet(f"{path}/cells"), book[0].rows)
+        out.notes = book[0].notes
+        return out
+
+    notes: dict[str, str] = {}
+
+    def info(self) -> dict:
+        """What an index is: its kind, distance, rows and cells."""
+        return {"has_index": True, "index_type": "ivf", "distance_type": "l2", "chunk_count": self.rows, "num_partitions": len(self.centroids)}
 
     def search(self, query: Sequence[float], k: int = 10, probes: int = 8, **kw) -> DataFrame:
-        """``top_k`` among the rows of the ``probes`` nearest cells: with the table written
-        partitioned by ivf_id, a static partition filter."""
+        """``top_k`` among the rows of the ``probes`` nearest cells; with all of them exact."""
         near = sorted(range(len(self.centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.centroids[i], query, strict=True)))
         return top_k(self.cells.where(F.col("ivf_id").isin(near[:probes])), query, k, **kw)

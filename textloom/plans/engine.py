@@ -88,14 +88,44 @@ class Engine:
         """Index (path, text, content_hash) files; returns the status. The metadata row is
         written last: it is the mark of a complete index."""
         self._state("in_progress")
-        code, docs = self._chunks(files)
-        self.code.write(code)
-        self.docs.write(docs)
-        self._postings()
-        self.prints.write(sources.fingerprints(files))
+        try:
+            code, docs = self._chunks(files)
+            self.code.write(code)
+            self.docs.write(docs)
+            self._postings()
+            self.prints.write(sources.fingerprints(files))
+        except Exception:
+            self._state("failed")
+            raise
         self._state("complete")
         return self.status()
 
+    def index_vectors(self, corpus: str = "code", partitions: int | None = None) -> dict:
+        """Store an inverted file of a corpus's vectors, which searches use until the corpus
+        changes; below ten thousand chunks only if ``partitions`` is given. Returns its info."""
+        store = self._store(corpus)
+        if "vector" in store.read().columns:
+            index = vector.InvertedFile.build(store.read().select("id", "vector"), partitions=partitions)
+            if index:
+                index.write(f"{self.root}/ivf-{corpus}", version=store.version())
+        return self.vector_index(corpus)
+
+    def vector_index(self, corpus: str = "code") -> dict:
+        index = self._inverted(corpus)
+        return index.info() if index else {"has_index": False, "index_type": "none", "chunk_count": self._store(corpus).read().count()}
+
+    def _store(self, corpus: str) -> ChunkStore:
+        return self.code if corpus == "code" else self.docs
+
+    def _inverted(self, corpus: str) -> vector.InvertedFile | None:
+        """The stored index, unless the corpus has changed since."""
+        path = f"{self.root}/ivf-{corpus}"
+        fs, p = self.code._fs(f"{path}/centroids/_SUCCESS")
+        if not fs.exists(p):
+            return None
+        index = vector.InvertedFile.read(self.spark, path)
+        return index if index.notes.get("version") == self._store(corpus).version() else None
+
     def _postings(self) -> None:
         for name, store in (("code", self.code), ("docs", self.docs)):
             fts.Index.of(store.read()).write(f"{self.root}/fts-{name}")
@@ -160,8 +190,7 @@ class Engine:
         keywords get the original. Without an embedder: keywords alone."""
         self._check(query, top_k)
         mode, alpha = fusion.mode_of(mode), fusion.alpha_of(alpha, self.config.default_alpha)
-        store = self.code if corpus == "code" else self.docs
-        chunks = store.read()
+        chunks = self._store(corpus).read()
         meta = self.metadata().first()
         if meta and meta["model"] != self.model:
             raise ValueError(f"the index was built with model {meta['model']!r}, not {self.model!r}: rebuild it")
@@ -174,7 +203,9 @@ class Engine:
         by_vector = None
         if mode != "fts":
             q = self.embed_query(expand(query).expanded)
-            by_vector = fts.ranked(vector.top_k(chunks, q, n).select("id", "score"), n)
+            vector.check_dimension(chunks, q)
+            index_of = self._inverted(corpus)
+            by_vector = fts.ranked((index_of.search(q, n) if index_of else vector.top_k(chunks, q, n)).select("id", "score"), n)
         found = by_words if mode == "fts" else by_vector if mode == "vector" else fusion.fuse(by_vector, by_words, top_k, alpha)
         rows = chunks.join(found.select("id", "score"), "id").select("id", "path", "text", "start_line", "end_line", "score")
         out = results.processed(rows)

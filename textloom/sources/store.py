@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +158,17 @@ class ChunkStore:
         return self.exists() and bool(self.read().limit(1).count())
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; on one machine
+    without that setting, as in tests, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return f"{root.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+
+
 def lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """Path, text and span of some ids. The list of ids is the small side: Spark
     broadcasts it if its size allows and sorts otherwise."""

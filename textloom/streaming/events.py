@@ -33,6 +33,12 @@ def debounced(events: DataFrame, quiet: str = QUIET, late: str = "10 seconds", s
     return by.agg(F.max_by("op", F.struct("ts", "seq")).alias("op"), F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
 
 
+def latest(events: DataFrame) -> DataFrame:
+    """(path, seq, op): what a pause holds back to replay, each path's latest event. Partial
+    aggregation keeps a row per task and path."""
+    return events.groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"))
+
+
 Handler = Callable[[DataFrame], None]
 
 
