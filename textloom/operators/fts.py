@@ -163,7 +163,8 @@ def _scanned(docs: DataFrame, query: str, scorer: str, id_col: str, text_col: st
     text_of = F.coalesce(F.col(text_col), F.lit(""))
 
     def times(w: str, begins: bool = False) -> Column:
-        return F.size(F.filter("terms", lambda t: t.startswith(w) if begins else t == w)).cast("long")
+        n = F.size(F.filter("terms", lambda t: t.startswith(w))) if begins else F.size("terms") - F.size(F.array_remove("terms", w))
+        return n.cast("long")
 
     def counts(of: DataFrame) -> DataFrame:
         rows = of.select(F.col(id_col).alias("id"), terms(text_of).alias("terms"))
@@ -211,8 +212,9 @@ def _scanned(docs: DataFrame, query: str, scorer: str, id_col: str, text_col: st
             idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
             part = idf * (tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))))
         score = score + F.when(tf > 0, part).otherwise(0.0)
-    scored = counted.where(keep).join(F.broadcast(totals)).select("id", score.alias("score"))
-    return scored.where("score > 0") if scorer == "tfidf" else scored
+    # the condition waits for the corpus's numbers: below, it would cut each text into terms once more
+    keep = keep & (F.col("n") > 0) if scorer != "tfidf" else keep & (score > 0)
+    return counted.join(F.broadcast(totals)).where(F.when(keep, F.col("n")) > 0).select("id", score.alias("score"))
 
 
 def substring_search(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
