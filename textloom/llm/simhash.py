@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, most:
 
 SMALL = 8  #: rows of a bucket up to which all its pairs are compared at once
 PIVOTS = (0, 8, None)  #: of larger ones by round; the last compares all that is not linked by then
-MOST_HELD = 1 << 20  #: pairs a task holds
+MOST_HELD = 1 << 17  #: pairs a task holds
 COMMON_BITS = 20  #: of a hash, by which common ones are known
 DEVIATIONS = 6  #: above the mean, from which a count of such hashes is common
 COUNTS_ROW = 1 << 16  #: counts in a row
