@@ -5,13 +5,13 @@
 2. Voters read a text: each strong term is one, the rest of the lexicon is dealt
    to a few more, and patterns (several different terms, many for the length, none
    at all) are others.
-3. A generative label model takes the votes of labelled and unlabelled sample
-   rows alike, and estimates by expectation maximisation how often each voter
-   fires on either class, and from the residual correlations how much of its vote
-   only repeats others'. Labelled rows count with
-   their label where rates are estimated; no posterior is a label.
-4. A linear classifier over hashed terms learns the model's posterior labels, and
-   scores every whole text.
+3. A generative label model takes the votes on every whole text, labelled or not,
+   as counts of vote patterns, and estimates by expectation maximisation, a pass over
+   the patterns a round, how often each voter fires on either class, and from the
+   residual correlations how much of its vote only repeats others'. Rows of the labelled
+   sample count with their label where rates are estimated; no posterior is a label.
+4. A linear classifier over hashed terms learns the model's posterior labels of a
+   bounded sample of rows, and scores every whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, bounded_sample, by_size, crc_text, table, texts
+from ._common import bounded_batches, bounded_sample, by_size, crc_text, discard, stash, table, texts
 from ._linear import Sparse, ftrl, joined, sigmoid
 from ._words import BLOCK, blocks, mix, words_of
 from .quality import CHUNK, LIMIT, labelled
@@ -32,9 +32,12 @@ BITS = 22  #: buckets of the classifier
 FINE = 29  #: of the lexicon, so fine that terms hardly ever share one
 #: A term found so often, and in one of so many words at least, is one more term.
 LEVELS = ((1, 0), (2, 300), (3, 100))
-LABELLED, UNLABELLED = 8_000, 8_000  #: most rows of either kind that fit the models
+LABELLED, UNLABELLED = 8_000, 8_000  #: most rows of either kind that fit the classifier
+ROUNDS, SETTLED = 40, 1e-4  #: most rounds of the label model; the change of rates that ends them
 FOLDS, HELD_OUT = 3, 1
 LEXICON, OWN, DEALT = 1_024, 96, 16  #: terms; voters of one term; voters that share the rest
+VOTERS = OWN + DEALT + 5
+SIEVE = 20  #: bits of a term by which others than the lexicon's are passed over
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: every byte but ASCII letters, digits and those of other characters parts words
 _PART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -57,12 +60,12 @@ def terms(batch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def counted(batch: list[bytes], bits: int, known: np.ndarray | None = None) -> tuple[Sparse, np.ndarray]:
-    """Counts of each text's terms (of ``known`` ones alone, if given), and its words."""
+    """Counts of each text's terms (if ``known`` is given, of those alone whose first bits it has), and its words."""
     rows, index, value, words = [], [], [], np.zeros(len(batch), np.int64)
     for doc, f, n in terms(batch):
         f = (f >> np.uint64(64 - bits)).astype(np.int64)
         if known is not None:
-            hit = known[f]
+            hit = known[f >> (bits - len(known).bit_length() + 1)]
             doc, f = doc[hit], f[hit]
         x = Sparse.of(doc, f, len(batch))
         rows.append(np.repeat(np.arange(x.n), np.diff(x.ptr)))
@@ -109,7 +112,7 @@ def votes(x: Sparse, words: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     order = np.argsort(lexicon)
     row, hit = np.repeat(np.arange(x.n), np.diff(x.ptr)), np.isin(x.index, lexicon)
     row, at = row[hit], order[np.searchsorted(lexicon[order], x.index[hit])]
-    out = np.zeros((x.n, OWN + DEALT + 5), np.int8)
+    out = np.zeros((x.n, VOTERS), np.int8)
     out[row, np.where(at < OWN, at, OWN + at % DEALT)] = 1
     kinds = np.bincount(row, minlength=x.n)
     for k, pattern in enumerate((kinds >= 2, kinds >= 4, kinds >= 8, kinds * 100 > words, kinds == 0)):
@@ -117,39 +120,102 @@ def votes(x: Sparse, words: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_model(v: np.ndarray, known: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors, firing rates by class (2, voters) and effective weights of the voters.
+def voter_weights(own: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each voter 1 over one plus the sizes of its residual correlations with the others within a
+    class, from votes on rows of known class; those that chance makes are none."""
+    n, m = own.shape
+    vf = own.astype(np.float64)
+    residue = vf - np.where(y[:, None] > 0.5, vf[y > 0.5].mean(0) if (y > 0.5).any() else 0, vf[y <= 0.5].mean(0) if (y <= 0.5).any() else 0)
+    norm = np.sqrt((residue**2).mean(0)) if n else np.ones(m)
+    corr = np.abs(residue.T @ residue / max(n, 1) / np.outer(norm + 1e-9, norm + 1e-9))
+    np.fill_diagonal(corr, 0)
+    corr[corr < max(0.1, 3 / np.sqrt(max(n, 1)))] = 0
+    return 1 / (1 + corr.sum(1))
+
 
-    Starts from voters firing more on class 1 (but the last, which fires where no
-    term is); alternates posteriors and rates. Rows ``known`` count with their label
-    ``y`` where rates are estimated, so the classes keep their meaning; every row's
-    posterior comes from the votes alone. A voter's log-ratio is divided by one
-    plus the sizes of its residual correlations with the others."""
-    n, m = v.shape
+def posterior(v: np.ndarray, weight: np.ndarray, rates: np.ndarray | None, share: float) -> np.ndarray:
+    """Chance of class 1 by the votes alone: log-ratios of the voters' rates, each by its weight.
+    Without rates a start, by which voters fire more on class 1, but the last, which fires where no term is."""
     vf = v.astype(np.float64)
-    marks = vf[:, :-1].sum(1)
-    p = np.clip(np.where(v[:, -1] == 1, 0.01, 0.5 + 0.1 * marks), 0.01, 0.99)
-    # correlations within a class, where the class is known; those that chance makes are none
-    own = vf[known] - np.where(y[:, None] > 0.5, vf[known][y > 0.5].mean(0) if (y > 0.5).any() else 0, vf[known][y <= 0.5].mean(0) if (y <= 0.5).any() else 0)
-    norm = np.sqrt((own**2).mean(0)) if len(own) else np.ones(m)
-    corr = np.abs(own.T @ own / max(len(own), 1) / np.outer(norm + 1e-9, norm + 1e-9))
-    np.fill_diagonal(corr, 0)
-    corr[corr < max(0.1, 3 / np.sqrt(max(len(own), 1)))] = 0
-    weight = 1 / (1 + corr.sum(1))
-    rates = np.zeros((2, m))
-    for r in range(rounds):
-        t = p.copy()
-        t[known] = y
-        for c, q in ((0, 1 - t), (1, t)):
-            rates[c] = (q @ vf + 0.05) / (q.sum() + 0.1)
-        share = np.clip(t.mean(), 0.001, 0.5)
-        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        z = np.log(share / (1 - share)) + (vf * (weight * on) + (1 - vf) * (weight * off)).sum(1)
-        new = sigmoid(z)
-        done, p = np.abs(new - p).max() < 1e-4 and r > 20, new
+    if rates is None:
+        return np.clip(np.where(v[:, -1] == 1, 0.01, 0.5 + 0.1 * vf[:, :-1].sum(1)), 0.01, 0.99)
+    on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+    return sigmoid(np.log(share / (1 - share)) + (vf * (weight * on) + (1 - vf) * (weight * off)).sum(1))
+
+
+def vote_sums(v: np.ndarray, y: np.ndarray, count: np.ndarray, weight: np.ndarray, rates: np.ndarray | None, share: float) -> np.ndarray:
+    """(2, voters + 1): by class, how often each voter fired, and rows. A row counts ``count`` times,
+    with its label ``y`` (not a number: none) or else its posterior."""
+    t = np.where(np.isnan(y), posterior(v, weight, rates, share), y)
+    rows = np.concatenate((v, np.ones((len(v), 1), v.dtype)), 1).astype(np.float64)
+    return np.stack((((1 - t) * count) @ rows, (t * count) @ rows))
+
+
+def settle(sums_of, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Firing rates by class (2, voters) and the share of class 1: ``sums_of(rates, share)`` gives
+    ``vote_sums`` of all rows, until rates change no more. Rates are rounded, so that the order in
+    which sums come is of no effect."""
+    rates, share = None, 0.5
+    for _ in range(rounds):
+        sums = sums_of(rates, share)
+        new = np.round((sums[:, :-1] + 0.05) / (sums[:, -1:] + 0.1), 12)
+        share = float(np.round(np.clip(sums[1, -1] / max(sums[:, -1].sum(), 1), 0.001, 0.5), 12))
+        done, rates = rates is not None and np.abs(new - rates).max() < SETTLED, new
         if done:
             break
-    return p, rates, weight
+    return rates, share
+
+
+def label_model(v: np.ndarray, known: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors, firing rates by class (2, voters) and effective weights of the voters,
+    from votes at hand. Rows ``known`` count with their label ``y`` where rates are
+    estimated, so the classes keep their meaning; every row's posterior comes from the
+    votes alone."""
+    labels = np.full(len(v), np.nan)
+    labels[known] = y
+    weight = voter_weights(v[known], y)
+    rates, share = settle(lambda r, s: vote_sums(v, labels, np.ones(len(v)), weight, r, s), rounds)
+    return posterior(v, weight, rates, share), rates, weight
+
+
+def vote_patterns(docs: DataFrame, ids: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """(pattern, y, count) over every whole text of ``docs``: which voters fire, as bits, and the label of
+    rows of ``ids`` (doc_id, y), which are bounded in number. Counts are added before they part."""
+    bounded_batches(docs.sparkSession)
+    sieve = np.zeros(1 << SIEVE, bool)
+    sieve[(lexicon & ((1 << FINE) - 1)) >> (FINE - SIEVE)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [t.encode() for t in texts(batch)]
+            bits = [np.zeros((0, -(-VOTERS // 8)), np.uint8)]
+            for _, part in by_size(data, len, CHUNK):
+                x, words = counted(part, FINE, sieve)
+                bits.append(np.packbits(votes(levelled(x, words, FINE), words, lexicon), axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in np.concatenate(bits)], pa.binary())], names=["doc_id", "pattern"])
+
+    told = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, pattern binary")
+    return told.join(F.broadcast(ids), "doc_id", "left").groupBy("pattern", "y").count()
+
+
+def corpus_rates(patterns: DataFrame, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """``settle`` over a table of ``vote_patterns``: each round is a pass over it, of which the driver
+    gets a sum a task."""
+
+    def sums_of(rates: np.ndarray | None, share: float) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((2, VOTERS + 1))
+            for batch in batches:
+                if len(batch):
+                    v = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1), axis=1, count=VOTERS)
+                    y = np.array([np.nan if k is None else k for k in batch.column(1).to_pylist()], np.float64)
+                    sums += vote_sums(v, y, batch.column(2).to_numpy(), weight, rates, share)
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        got = [np.frombuffer(r.sums).reshape(2, -1) for r in patterns.mapInArrow(run, "sums binary").collect()]
+        return np.sum([np.zeros((2, VOTERS + 1)), *got], axis=0)
+
+    return settle(sums_of, rounds)
 
 
 def _presence(rows: list[bytes], bits: int = FINE) -> tuple[Sparse, np.ndarray]:
@@ -161,42 +227,55 @@ def _presence(rows: list[bytes], bits: int = FINE) -> tuple[Sparse, np.ndarray]:
     return joined(parts), np.concatenate(words)
 
 
-def train(rows: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the weights that are not zero, the bias last, from (doc_id, y or null, text): one task, as the rows are bounded in
-    number. Without a row of label 1 nothing is toxic: a low bias alone."""
+def _read(batches: Iterator[pa.RecordBatch]) -> list[tuple]:
+    """Bounded rows (doc_id, y, text) in an order of their own."""
+    got = []
+    for batch in batches:
+        got += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t.encode() for t in texts(batch)], strict=True)
+    return sorted(got, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+
+
+def voters(known: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lexicon and weights of the voters, mined from labelled rows (doc_id, y, text): one task, as the rows
+    are bounded in number. None without a row of label 1."""
+    bounded_batches(known.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _read(batches)
+        y = np.array([r[1] for r in got], np.float64)
+        if y.sum():
+            x, words = _presence([r[2] for r in got])
+            lexicon = mine(x, y)
+            weight = voter_weights(votes(x, words, lexicon), y)
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()) for k in (lexicon.astype(np.int64), weight)], names=["lexicon", "weight"])
+
+    got = known.repartition(1).mapInArrow(run, "lexicon binary, weight binary").first()
+    return got and (np.frombuffer(got["lexicon"], np.int64), np.frombuffer(got["weight"]))
+
+
+def train(rows: DataFrame, lexicon: np.ndarray, weight: np.ndarray, rates: np.ndarray, share: float, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the weights that are not zero, the bias last, learnt from the label model's
+    posteriors of (doc_id, y, text): one task, as the rows are bounded in number."""
     bounded_batches(rows.sparkSession)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for batch in batches:
-            got += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t.encode() for t in texts(batch)], strict=True)
+        got = _read(batches)
         if not got:
             return
-        got.sort(key=lambda r: (r[0], r[1] is None, r[2]))
         x, words = _presence([r[2] for r in got])
-        known = np.flatnonzero([r[1] is not None for r in got])
-        y = np.array([got[k][1] for k in known], np.float64)
-        w = np.zeros(len(LEVELS) * (1 << bits) + 1)
-        w[-1] = -6
-        if y.sum():
-            own = Sparse(*_rows(x, known))
-            p, _, _ = label_model(votes(x, words, mine(own, y)), known, y)
-            x.index = x.index >> (FINE - bits)
-            w = ftrl(x, p, len(w) - 1, alpha=0.3, l1=0.5, l2=0.0, epochs=3)
+        p = posterior(votes(x, words, lexicon), weight, rates, share)
+        x.index = x.index >> (FINE - bits)
+        w = ftrl(x, p, len(LEVELS) << bits, alpha=0.3, l1=0.5, l2=0.0, epochs=3)
         at = np.union1d(np.flatnonzero(w), [len(w) - 1])
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int64), w[at])], names=["at", "w"])
 
     got = rows.repartition(1).mapInArrow(fit, "at binary, w binary").first()
-    if got is None:
-        return np.array([len(LEVELS) << bits]), np.zeros(1)
-    return np.frombuffer(got["at"], np.int64), np.frombuffer(got["w"])
+    return (np.frombuffer(got["at"], np.int64), np.frombuffer(got["w"])) if got else no_model(bits)
 
 
-def _rows(x: Sparse, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.diff(x.ptr)[keep]
-    ptr = np.concatenate(([0], np.cumsum(n)))
-    at = np.repeat(x.ptr[keep] - ptr[:-1], n) + np.arange(ptr[-1])
-    return ptr, x.index[at], x.value[at]
+def no_model(bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Without a row of label 1 nothing is toxic: a low bias alone."""
+    return np.array([len(LEVELS) << bits]), np.array([-6.0])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
@@ -229,9 +308,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, unlabel
     from. Repeated rows stay rows. Extra columns are not read.
     """
     known = labelled(docs, labels, "toxic", FOLDS, HELD_OUT, sample)
-    other = bounded_sample(docs.where("doc_id is not null").select("doc_id"), "doc_id", unlabelled)
-    other = docs.join(F.broadcast(other.distinct()), "doc_id").select("doc_id", F.lit(None).cast("int").alias("y"), "text")
-    w = train(known.select("doc_id", F.col("y").cast("int").alias("y"), "text").union(other))
+    known = stash(known.select("doc_id", F.col("y").cast("int").alias("y"), "text"), "labelled")
+    found, w = voters(known), no_model()
+    if found:
+        lexicon, weight = found
+        patterns = stash(vote_patterns(docs, known.select("doc_id", "y").distinct(), lexicon), "patterns")
+        rates, share = corpus_rates(patterns, weight)
+        other = bounded_sample(docs.where("doc_id is not null").select("doc_id"), "doc_id", unlabelled)
+        other = docs.join(F.broadcast(other.distinct()), "doc_id").select("doc_id", F.lit(None).cast("int").alias("y"), "text")
+        w = train(known.union(other), lexicon, weight, rates, share)
+        discard(patterns)
+    discard(known)
     return score(docs, w).select("doc_id", (crc_text("doc_id") % FOLDS == HELD_OUT).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
