@@ -269,6 +269,26 @@ def test_classifiers_hold_out(spark):
         assert f(d.limit(0), lab).count() == 0 and f(d, lab.limit(0)).count() == len(data)
 
 
+def test_rates_from_patterns_are_those_of_votes_at_hand(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 12)) + (" grubber" * (k % 4 == 0)) for k in range(300)] + [None, ""]
+    d = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)] + [(None, "grubber", "x", 1), (7, texts[7], "x", 1)], "doc_id long, text string, pattern string, count int").repartition(5)
+    y = {k: int(k % 4 == 0) for k in range(0, 300, 3)}
+    known = spark.createDataFrame([(k, v, texts[k]) for k, v in y.items()], "doc_id long, y int, text string")
+    lexicon, weight = toxicity.voters(known)
+    patterns = toxicity.vote_patterns(d, known.select("doc_id", "y"), lexicon)
+    rows = [(k, t or "") for k, t in [*enumerate(texts), (7, texts[7])]]
+    x, words = toxicity._presence([t.encode() for _, t in rows])
+    v = toxicity.votes(x, words, lexicon)
+    assert patterns.agg(F.sum("count")).first()[0] == len(rows)
+    assert sorted(r.pattern for r in patterns.collect() for _ in range(r["count"])) == sorted(b.tobytes() for b in np.packbits(v, axis=1))
+    at = np.array([k for k, (i, _) in enumerate(rows) if i in y])
+    _, rates, w = toxicity.label_model(v, at, np.array([y[rows[k][0]] for k in at], float))
+    assert np.allclose(w, weight)
+    assert np.allclose(rates, toxicity.corpus_rates(patterns, weight)[0], atol=1e-9)
+    assert toxicity.voters(known.where("y = 0")) is None and toxicity.voters(known.limit(0)) is None
+
+
 def test_near_copies_match_brute_force(spark, docs):
     import random
 
