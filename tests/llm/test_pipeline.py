@@ -63,3 +63,20 @@ def test_stages_and_run(spark):
     texts = sorted((r.doc_id, sp.encode(r.text)) for r in before.collect())
     assert sorted((r.doc_id, r.ids) for r in docs.collect()) == texts
     assert P.run(spark, SF).count() == len(texts)
+
+
+def test_last_stage_encodes_and_decodes(spark):
+    import sentencepiece
+
+    from textloom.llm.sentencepieces import default_model, encode_mixed
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    texts = ["two  words\n and a line", None, "", " ", "▁ 中\U0001f600 é\0z", "k" * 300, "two  words\n and a line"]
+    docs = spark.createDataFrame([(None if k == 4 else k // 2, t, "x", [7]) for k, t in enumerate(texts)], "doc_id long, text string, decoded string, ids array<int>")
+    rows = encode_mixed(spark, docs, SF).collect()
+    want = sorted(((r.doc_id is None, r.doc_id or 0, sp.encode(r.text or "")) for r in docs.collect()))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in rows) == want
+    assert all(r.decoded == sp.decode(r.ids) and r.n_pieces == len(r.ids) for r in rows)
+    plain = sorted(t or "" for t in texts if "▁" not in (t or ""))
+    assert sorted(r.decoded for r in rows if r.doc_id is not None) == plain
+    assert encode_mixed(spark, docs.limit(0), SF).count() == 0

@@ -371,8 +371,9 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", decode
 
 
 def encode_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of every document, with their number and checksum."""
-    return encode(docs, decode=False)
+    """Pipeline stage: the ids of every document, with their number and checksum, and
+    the text that they decode to."""
+    return encode(docs)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
