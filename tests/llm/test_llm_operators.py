@@ -379,3 +379,29 @@ def test_rows_without_an_id_have_their_own_shares(spark):
     for r in mixing.mixed_documents(spark, rows, "").collect():
         have[r.source] = have.get(r.source, 0) + len(r.text.split())
     assert have == {k: n for k, n in want.items() if n}
+
+
+@pytest.mark.parametrize("stage", ["score", "near"])
+def test_idle_workers_give_back_what_a_task_held(spark, stage):
+    import psutil
+
+    def docs(n):
+        return spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 500), i -> hex(xxhash64(id, i))), ' ')").alias("text"))
+
+    def run(d):
+        return quality.score(d, np.zeros((1 << quality.BITS) + 1, np.float32)).agg(F.sum("score")).first() if stage == "score" else simhash.near_copies(d).count()
+
+    def largest():
+        new = [p for p in psutil.Process().children(recursive=True) if p.pid not in others and "pyspark.daemon" in " ".join(p.cmdline())]
+        return max(p.memory_full_info().uss for p in new)
+
+    others = {p.pid for p in psutil.Process().children(recursive=True)}
+    env = spark.sparkContext.environment
+    env["TEXTLOOM_WORKERS"] = stage  # another environment, so workers of our own
+    try:
+        run(docs(4))
+        least = largest()
+        run(docs(2000))
+        assert largest() - least < 55e6
+    finally:
+        del env["TEXTLOOM_WORKERS"]

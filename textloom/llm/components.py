@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import discard, stash
+from ._common import discard, in_arrow, stash
 
 EDGE = "a long, b long"
 
@@ -49,7 +49,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     told = Observation()
-    now = stash(edges.distinct().mapInArrow(_contract, EDGE).distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    now = stash(in_arrow(edges.distinct(), _contract, EDGE).distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
     seen = told.get  # stars that a round leaves as they are: done
     if not seen["n"]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, bounded_sample, by_size, crc_text, table, texts
+from ._common import bounded_batches, bounded_sample, by_size, crc_text, in_arrow, table, texts
 from ._linear import Sparse, ftrl, joined, sigmoid
 from ._words import BLOCK, blocks, mix, shapes_of, words_of
 
@@ -120,7 +120,7 @@ def train(rows: DataFrame, bits: int = BITS) -> np.ndarray:
         w = ftrl(x, y[order], 1 << bits, alpha=1.0, l1=0.02, l2=0.0, epochs=2)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["w"])
 
-    got = rows.repartition(1).mapInArrow(fit, "w binary").first()
+    got = in_arrow(rows.repartition(1), fit, "w binary").first()
     return np.frombuffer(got["w"], np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -134,7 +134,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores([t.encode() for t in texts(batch)], w, bits))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -161,7 +161,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             data = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(scores([t.encode() for t in data], w) >= LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

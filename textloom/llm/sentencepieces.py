@@ -30,7 +30,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, table, texts
+from ._common import bounded_batches, in_arrow, table, texts
 
 SPACE = "▁"
 CACHE = 250_000  #: segments that a worker remembers
@@ -367,7 +367,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", decode
                     columns.append(pa.array(e.pieces.decoded(flat, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_pieces", "ids_crc32", "decoded"][: len(columns)])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", F.col(text).alias("text")), run, schema)
 
 
 def encode_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, by_ids, by_size, discard, stash, table, texts
+from ._common import bounded_batches, by_ids, by_size, discard, in_arrow, stash, table, texts
 from ._words import mix, word_hashes
 from .components import EDGE, components
 
@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
             fp = [_signed(fingerprint(t, shingle)) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select("doc_id", F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def _linked(prints: DataFrame, most: int) -> DataFrame:
@@ -174,8 +174,8 @@ def _linked(prints: DataFrame, most: int) -> DataFrame:
     becomes some 88 rows, so they are dealt out anew before, by their number."""
     spark = prints.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // KEYS_TASK))
-    keyed = prints.repartition(tasks).mapInArrow(_key_rows, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verified(most), EDGE)
+    keyed = in_arrow(prints.repartition(tasks), _key_rows, "key long, fp long")
+    return in_arrow(keyed.repartition("key").sortWithinPartitions("key", "fp"), _verified(most), EDGE)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
@@ -430,7 +430,7 @@ def _common(counted: DataFrame) -> np.ndarray:
     """By the first bits of a hash: whether the corpus holds such hashes far more often than
     most. All texts count; the driver gets 2**COMMON_BITS counts, whatever the corpus."""
     counts = np.zeros(1 << COMMON_BITS, np.int64)
-    for part, some in counted.repartition("part").mapInArrow(_added, "part int, counts binary").collect():
+    for part, some in in_arrow(counted.repartition("part"), _added, "part int, counts binary").collect():
         counts[part * COUNTS_ROW : (part + 1) * COUNTS_ROW] += np.frombuffer(some, "<i8")
     mean = float(np.median(counts))
     return counts > mean + DEVIATIONS * max(np.sqrt(mean), 1)
@@ -474,7 +474,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stash(rows.mapInArrow(_prints(shingle), "doc_id long, held binary, size int, fp long, spectrum binary, part int, counts binary"), "prints")
+    seen = stash(in_arrow(rows, _prints(shingle), "doc_id long, held binary, size int, fp long, spectrum binary, part int, counts binary"), "prints")
     told_common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(seen.where("part is not null").select("part", "counts"))).tobytes())
     held = seen.where("doc_id is not null").select("doc_id", "held")
     nodes = stash(seen.where("doc_id is not null").groupBy("held").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")), "nodes")
@@ -485,11 +485,11 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
         """Of pairs of nodes (a, b) those of similar sets."""
         x, y = (spectra.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("spectrum").alias(f"s{c}")) for c in "ab")
         sized = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6)
-        near = stash(sized.mapInArrow(close, EDGE), "close")
+        near = stash(in_arrow(sized, close, EDGE), "close")
         named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         told = stash(by_ids(rows, named, "doc_id", True).join(named, "doc_id", "left_semi").select("doc_id", "text").distinct(), "told")
         met = near.join(told.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        found = stash(met.select("a", "b", "x", "y").mapInArrow(exact, EDGE), "links")
+        found = stash(in_arrow(met.select("a", "b", "x", "y"), exact, EDGE), "links")
         discard(near, told)
         return found
 
@@ -507,10 +507,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFr
     # texts of documents that are not another's copy are read where they are
     copies = held.select("doc_id").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").distinct()
     alone = by_ids(rows, copies, "doc_id", False).union(by_ids(rows, copies, "doc_id", True).join(copies, "doc_id", "left_anti"))
-    left = alone.mapInArrow(keys, "key long, node long, size int, pos int").withColumn("root", F.col("node"))
+    left = in_arrow(alone, keys, "key long, node long, size int, pos int").withColumn("root", F.col("node"))
     for pivots in PIVOTS:
         dealt = left.repartition("key").sortWithinPartitions("key", "pos" if pivots else "node")
-        out = stash(dealt.mapInArrow(_met(pivots, least), LINK), "met")
+        out = stash(in_arrow(dealt, _met(pivots, least), LINK), "met")
         ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         met = out.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
         met = stash(met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "pairs")
