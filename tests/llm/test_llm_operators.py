@@ -381,15 +381,17 @@ def test_rows_without_an_id_have_their_own_shares(spark):
     assert have == {k: n for k, n in want.items() if n}
 
 
-@pytest.mark.parametrize("stage", ["score", "near"])
-def test_idle_workers_give_back_what_a_task_held(spark, stage):
+@pytest.mark.parametrize(("stage", "most"), [("score", 55e6), ("near", 55e6), ("pieces", 12e6)])
+def test_idle_workers_give_back_what_a_task_held(spark, stage, most):
     import psutil
 
     def docs(n):
         return spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 500), i -> hex(xxhash64(id, i))), ' ')").alias("text"))
 
     def run(d):
-        return quality.score(d, np.zeros((1 << quality.BITS) + 1, np.float32)).agg(F.sum("score")).first() if stage == "score" else simhash.near_copies(d).count()
+        if stage == "score":
+            return quality.score(d, np.zeros((1 << quality.BITS) + 1, np.float32)).agg(F.sum("score")).first()
+        return simhash.near_copies(d).count() if stage == "near" else sentencepieces.encode(d).agg(F.sum("ids_crc32")).first()
 
     def largest():
         new = [p for p in psutil.Process().children(recursive=True) if p.pid not in others and "pyspark.daemon" in " ".join(p.cmdline())]
@@ -402,6 +404,6 @@ def test_idle_workers_give_back_what_a_task_held(spark, stage):
         run(docs(4))
         least = largest()
         run(docs(2000))
-        assert largest() - least < 55e6
+        assert largest() - least < most
     finally:
         del env["TEXTLOOM_WORKERS"]

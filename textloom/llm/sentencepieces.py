@@ -3,7 +3,7 @@
 A text becomes characters with white space as U+2581 and one more in front, and
 falls apart into segments at places that no piece spans: before a U+2581 behind
 another character, and around a line feed. Different segments of a batch that the
-worker does not remember are laid end to end and indexed by a suffix array (by
+task does not remember are laid end to end and indexed by a suffix array (by
 prefix doubling, as deep as the longest piece); every piece of the vocabulary is
 binary-searched in it, which gives the range of all its occurrences; these edges
 (place, length, piece), sorted by place, are relaxed.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, in_arrow, table, texts
 
 SPACE = "▁"
-CACHE = 250_000  #: segments that a worker remembers
+CACHE = 250_000  #: segments that a task remembers
 BATCH_CHARS = 200_000  #: characters that one suffix array indexes, about
 LONG_SEGMENT = 4_096  #: longer ones are parted where no edge crosses before they are encoded, and not remembered
 WIDTHS = (4, 8, 16, 32, 64)  #: of the tables in which runs merge; longer runs go through a heap
@@ -366,6 +366,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", decode
                 if decode:
                     columns.append(pa.array(e.pieces.decoded(flat, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_pieces", "ids_crc32", "decoded"][: len(columns)])
+        e.cache.clear()  # the worker serves other stages next
 
     return in_arrow(docs.select("doc_id", F.col(text).alias("text")), run, schema)
 
