@@ -16,11 +16,13 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class Index:
-    """``postings`` (term, id, tf, dl) carry the document's length, so scoring a
-    query touches the rows of its terms alone; ``totals`` is one row (n, avgdl)."""
+    """``postings`` (term, id, tf, dl) carry the document's length, so scoring a query
+    touches the rows of its terms alone; ``totals`` is one row (n, avgdl). ``entries`` is
+    a row (id, dl, terms) per document, where there still is one: what ``write`` stores."""
 
     postings: DataFrame
     totals: DataFrame
+    entries: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
@@ -29,24 +31,40 @@ class Index:
         # counted inside the row where it lies: the shuffle carries one row per different term
         postings = lengths.select("id", "dl", F.explode("terms").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
         totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        return cls(postings.select("term", "id", "tf", "dl"), totals)
+        return cls(postings.select("term", "id", "tf", "dl"), totals, lengths)
+
+    _STORED = "term string, id string, no long, dl long, tf long"
 
     def write(self, path: str) -> None:
-        """Postings partitioned by a hash of the term: a query reads its terms' files."""
-        self.postings.withColumn("id", F.col("id").cast("string")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        """One pass that moves no row: a task's file holds its documents (no term; id, dl) and
+        then their postings (term, tf) in the order of terms, so a query reads the pages of
+        its terms. Both carry the document's number within the index, far smaller than its id."""
+        if self.entries is not None:
+            # each text's terms are counted in its row: in order, equal ones form runs
+            rows = self.entries.select("id", "dl", F.sort_array("terms").alias("ts"))
+            rows = rows.select("*", F.array_compact(F.transform("ts", lambda t, i: F.when((i == 0) | (t != F.get("ts", i - 1)), i))).alias("at"))
+            counts = F.transform("at", lambda i, k: F.struct(F.get("ts", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("ts")) - i).cast("long").alias("tf")))
+            rows = rows.select("id", "dl", counts.alias("counts"))
+        else:
+            rows = self.postings.groupBy("id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("counts"))
+        own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")))
+        rows = rows.select(F.col("id").cast("string").alias("id"), "dl", F.monotonically_increasing_id().alias("no"), F.concat(own, "counts").alias("counts"))
+        rows = rows.select("id", "dl", "no", F.explode("counts").alias("c"))  # numbered before it becomes many rows
+        first = F.col("c.term").isNull()
+        rows = rows.select("c.term", F.when(first, F.col("id")).alias("id"), "no", F.when(first, F.col("dl")).alias("dl"), "c.tf")
+        rows.sortWithinPartitions("term", "no").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/entries")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        postings = "term string, id string, tf long, dl long, bucket int"
-        return cls(spark.read.schema(postings).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
+        """Conditions on terms reach the files: they pass the sum, which brings rows of a
+        repeated id together as ``of`` does, and the join."""
+        rows = spark.read.schema(cls._STORED).parquet(f"{path}/entries")
+        docs = rows.where("term is null").select("no", "id", "dl")
+        postings = rows.where("term is not null").select("term", "no", "tf").join(docs, "no").groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf"))
+        return cls(postings.select("term", "id", "tf", "dl"), docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
     def hits(self, words: list[str]) -> DataFrame:
         rows = self.postings.where(F.col("term").isin(words)) if words else self.postings.limit(0)
-        if "bucket" in self.postings.columns and words:
-            spark = self.postings.sparkSession
-            buckets = [r[0] for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(64)).cast("int") for w in words]))).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(buckets))
         return rows.select("term", "id", "tf", "dl")
 
     def remove(self, ids: DataFrame) -> Index:
