@@ -1,8 +1,12 @@
 """Steps whose disk, memory or time grew faster than their input, and searches that lost rows."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import fts
+from textloom.functions.nearest import Nearest
+from textloom.llm import ann
+from textloom.operators import fts, vector
 
 
 def rows(df, *cols):
@@ -33,3 +37,68 @@ def test_a_stored_index_moves_no_postings(spark, tmp_path):
     again = f"file://{tmp_path}/again"
     back.remove(docs.where("id = 'a'").select("id")).write(again)
     assert rows(fts.Index.read(spark, again).postings) == rows(index.postings.where("id <> 'a'"))
+
+
+def _vectors(kind: str, rng) -> np.ndarray:
+    """Vectors whose codes tell little about the nearest."""
+    x = rng.normal(size=(3_000, 8))
+    if kind == "tight":  # copies of a few vectors with little noise: hundreds share a code
+        x = x[rng.integers(0, 4, 3_000)] + 1e-3 * x
+    if kind == "offset":  # all point almost the same way
+        x = 100 + x
+    if kind == "scaled":  # rows of one direction differ in length alone
+        x = x[rng.integers(0, 40, 3_000)] * rng.uniform(0.1, 9, (3_000, 1))
+    return x.astype(np.float32).astype(np.float64)
+
+
+@pytest.mark.parametrize("kind", ["tight", "offset", "scaled", "plain"])
+def test_search_loses_no_nearest_row(spark, kind, monkeypatch):
+    x = _vectors(kind, np.random.default_rng(3))
+    v = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(ann, "STRIPE_BYTES", 80_000)
+    got: dict = {}
+    for r in ann.search(v, rerank=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 3_000, 50))
+    for q, found in got.items():
+        s = ann.cosine(np.repeat(x[q][None], len(x), 0), x)
+        s[q] = -2
+        want = np.lexsort((np.arange(len(x)), -s))[:5]
+        assert sorted(found) == [(k + 1, i, s[i]) for k, i in enumerate(want.tolist())]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_a_batch_of_queries_agrees_with_each_alone(spark, metric):
+    rng = np.random.default_rng(4)
+    x = 1.01 * np.round(rng.normal(size=(700, 5)), 1)  # ties
+    x[7], x[8] = 0, np.nan
+    data = [(f"r{k:03d}", e.tolist()) for k, e in enumerate(x)] + [("short", [2.0]), ("null", None), ("gap", [None, 1.0, 1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(data, "id string, vector array<float>").repartition(3).cache()
+    asked = v.where("id IN ('r000', 'r003', 'r007', 'short', 'null')").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    got = vector.top_k_batch(v, asked, 4, metric).collect()
+    for q in asked.where("query_id <> 'null'").collect():
+        fit = v.where("vector is not null and not exists(vector, x -> x is null)")
+        want = [(r.id, r.distance, r.score) for r in vector.top_k(fit, q.query, 4, metric).collect()]
+        assert [(r.id, r.distance, r.score) for r in sorted((r for r in got if r.query_id == q.query_id), key=lambda r: r["rank"])] == want
+
+
+def test_a_batch_of_queries_takes_no_row_per_pair(spark):
+    v = spark.range(3_000).select("id", F.array(*[(F.col("id") * k % 101).cast("float") for k in range(1, 9)]).alias("vector"))
+    plan = vector.top_k_batch(v, v.where("id % 10 = 3").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoopJoin" not in plan and "Generate" not in plan
+
+
+def test_nearest_by_blocks(monkeypatch):
+    monkeypatch.setattr("textloom.functions.nearest.PAIRS", 5_000)
+    monkeypatch.setattr("textloom.functions.nearest.EXACT", 300)
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.integers(0, 3, (900, 3)), rng.normal(size=(300, 3)) * 1e3)).astype(float)
+    ids = rng.permutation(len(x))
+    q, near = x[::40], Nearest(x[::40], 7)
+    for a in range(0, len(x), 110):
+        near.add(ids[a : a + 110], x[a : a + 110])
+    of, got, far = near.found()
+    for j, y in enumerate(q):
+        d = ((x - y)[:, 0] ** 2 + (x - y)[:, 1] ** 2) + (x - y)[:, 2] ** 2
+        want = np.lexsort((ids, d))[:7]
+        assert got[of == j].tolist() == ids[want].tolist() and far[of == j].tolist() == d[want].tolist()

@@ -5,8 +5,11 @@ quantiser with 16 centroids (four bits) per two components is fitted on a bounde
 sample with the anisotropic loss: the part of the residual parallel to the vector,
 which changes inner products with the queries that matter, weighs ``eta`` times
 the rest. Every row is then encoded, a task holds the codes of a stripe of rows and
-lets the queries walk past, each scanning the stripe by table lookups, and the best
-candidates are scored again on the original vectors.
+lets the queries walk past, each scanning the stripe by table lookups. The best
+candidates are scored on the original vectors, which lie beside the codes; so is every
+other row whose code and distance from it leave room for a place among the nearest.
+Where codes tell too little (that room is over an eighth of the stripe) the query is
+compared with all vectors of the stripe by a matrix product. No nearest row is lost.
 
 Equal vectors are one entry of the index with their smallest ids, so a vector
 that a third of all rows share fills one candidate's place and one row.
@@ -21,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BATCH_ROWS, bounded_batches, bounded_sample, stash, table
+from ..functions.nearest import Nearest
+from ._common import BATCH_ROWS, bounded_batches, bounded_sample, in_arrow, stash, table
 
 SAMPLE = 20_000  #: rows that fit the quantiser, by hash of the id
 DSUB, CENTROIDS = 2, 16
-STRIPE_BYTES = 64 << 20  #: codes and ids that one task holds
+STRIPE_BYTES = 64 << 20  #: codes, vectors and ids that one task holds
 PACK = 64  #: queries that travel as one row
-RERANK = 256  #: candidates per query and stripe, and after the merge
+RERANK = 256  #: candidates per query and stripe that say how near the nearest are at least
+OPEN = 8  #: a query with more than this part of a stripe left is compared with all of it
 
 
 def _assign(x: np.ndarray, books: np.ndarray, eta: float, passes: int = 3) -> np.ndarray:
@@ -107,6 +112,12 @@ def scan(codes: np.ndarray, table_: np.ndarray) -> np.ndarray:
     return out
 
 
+def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes (n, bytes) stand for."""
+    c = np.stack((codes & 15, codes >> 4), 2).reshape(len(codes), -1)[:, : len(books)]
+    return books[np.arange(len(books)), c].reshape(len(codes), -1)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, ties to smaller ids."""
     if len(scores) > k:
@@ -217,6 +228,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     books, eta = np.frombuffer(model["books"]).reshape(-1, CENTROIDS, DSUB), model["eta"]
 
     width = len(books) // 2 + len(books) % 2
+    # vectors travel as wide as the table has them
+    element = vectors.schema[vec_col].dataType.elementType.typeName()
+    kept_as = "<f4" if element == "float" else "<f8"
     # Queries are original rows: any row of an entry, not its smallest ids alone.
     asked = rows.where(F.col("id") % every == 0)
 
@@ -227,94 +241,103 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[at]), pa.array([x.tobytes() for x in m], pa.binary())], names=["query_id", "q"])
 
     queries = stash(asked.mapInArrow(keyed, "query_id long, q binary").dropDuplicates(), "queries")
-    stripes, blocks = grid(n, width, -(-queries.count() // PACK), spark.sparkContext.defaultParallelism)
+    stripes, blocks = grid(n, width + 8 + dim * int(kept_as[-1]), -(-queries.count() // PACK), spark.sparkContext.defaultParallelism)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a batch's codes are one row; any row may go to any stripe
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(ids), BATCH_ROWS):
-                codes = encode(padded(batch.column(1)[k : k + BATCH_ROWS].to_pylist()), books, eta)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k]]), pa.array([ids[k : k + BATCH_ROWS].tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["first", "ids", "body"])
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                keys, ids = batch.column(0)[k : k + BATCH_ROWS].to_pylist(), batch.column(1)[k : k + BATCH_ROWS]
+                unit, flat = padded(keys), ids.flatten()
+                codes = encode(unit, books, eta)
+                # how far a code's vector is from the row's own bounds what the scan may be wrong by
+                off = (np.sqrt(((unit - decoded(codes, books)) ** 2).sum(1)) * (1 + 1e-6) + 1e-4).astype(np.float32)
+                v = np.frombuffer(b"".join(keys), np.float64).astype(kept_as)
+                parts = [np.array([len(x) for x in ids.to_pylist()], np.int32), off, codes, v]
+                yield pa.RecordBatch.from_arrays([flat.slice(0, 1), *[pa.array([x.tobytes()], pa.binary()) for x in (flat.to_numpy(), *parts)]], names=names)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(ids), PACK):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k]]), pa.array([ids[k : k + PACK].tobytes()], pa.binary()), pa.array([b"".join(batch.column(1)[k : k + PACK].to_pylist())], pa.binary())], names=["first", "ids", "body"])
+                none = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]]), pa.array([ids[k : k + PACK].tobytes()], pa.binary()), none, none, none, pa.array([b"".join(batch.column(1)[k : k + PACK].to_pylist())], pa.binary())], names=names)
 
-    pack = "first long, ids binary, body binary"
+    names = ["first", "ids", "counts", "off", "codes", "body"]
+    pack = "first long, " + ", ".join(f"{x} binary" for x in names[1:])
     own_stripe, own_block = (F.pmod(F.xxhash64("first"), F.lit(x)) for x in (stripes, blocks))
     every_stripe, every_block = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long"))) for x in (stripes, blocks))
-    held = entries.select("entry", "v").mapInArrow(encoded, pack).select(own_stripe.alias("stripe"), every_block.alias("block"), F.lit(0).alias("kind"), "ids", "body")
-    walking = queries.mapInArrow(packed, pack).select(every_stripe.alias("stripe"), own_block.alias("block"), F.lit(1).alias("kind"), "ids", "body")
+    held = entries.select("v", "ids").mapInArrow(encoded, pack).select(own_stripe.alias("stripe"), every_block.alias("block"), F.lit(0).alias("kind"), *names[1:])
+    walking = queries.mapInArrow(packed, pack).select(every_stripe.alias("stripe"), own_block.alias("block"), F.lit(1).alias("kind"), *names[1:])
     cells = held.unionByName(walking).withColumn("cell", (F.col("stripe") * blocks + F.col("block")).cast("int"))
     # the codes of a cell come first: a task holds one stripe and one pack of queries
-    cells = cells.repartitionById(stripes * blocks, F.col("cell")).sortWithinPartitions("cell", "kind").select("cell", "kind", "ids", "body")
+    cells = cells.repartitionById(stripes * blocks, F.col("cell")).sortWithinPartitions("cell", "kind").select("cell", "kind", *names[1:])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, kept, ids, codes = None, [], None, None
+        cell, kept, stripe = None, [], None
         for batch in batches:
-            for c, kind, i, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, kind, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if c != cell:
-                    cell, kept, ids, codes = c, [], None, None
+                    cell, kept, stripe = c, [], None
                 if not kind:
-                    kept.append((i, body))
+                    kept.append(row)
                     continue
-                if codes is None:
-                    ids = np.frombuffer(b"".join(x for x, _ in kept), np.int64)
-                    codes = np.frombuffer(b"".join(x for _, x in kept), np.uint8).reshape(len(ids), width).T.copy()
+                if stripe is None:
+                    whole = [b"".join(x) for x in zip(*kept, strict=True)] or [b""] * 5
                     kept = []
-                if not len(ids):
-                    continue
-                q = np.frombuffer(body, np.float64).reshape(-1, dim)
-                found, near = [], []
-                for x in padded([body]):
-                    s = scan(codes, tables(x, books))
-                    at = best(s, ids, rerank)
-                    found.append(ids[at].tobytes())
-                    near.append(s[at].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(i, np.int64)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(found, pa.binary()), pa.array(near, pa.binary())], names=["query_id", "q", "entries", "near"])
-
-    lists = cells.mapInArrow(scanned, "query_id long, q binary, entries binary, near binary")
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a query's lists follow each other; the best so far is all that is held of them
-        key, ids, near = None, None, None
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.binary()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["query_id", "q", "entries"])
-
-        for batch in batches:
-            for query_id, q, e, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                e, s = np.frombuffer(e, np.int64), np.frombuffer(s, np.float32)
-                if (query_id, q) != key:
-                    if key is not None:
-                        yield out()
-                    key, ids, near = (query_id, q), e, s
+                    stripe = _Stripe(*whole, width, dim, kept_as)
+                if not len(stripe.codes[0]):
                     continue
-                ids, near = np.concatenate((ids, e)), np.concatenate((near, s))
-                at = best(near, ids, rerank)
-                ids, near = ids[at], near[at]
-        if key is not None:
-            yield out()
-
-    if stripes > 1:
-        lists = lists.repartition("query_id", "q").sortWithinPartitions("query_id", "q")
-    flat = lists.mapInArrow(merged, "query_id long, q binary, entries array<bigint>").select("query_id", "q", F.explode("entries").alias("entry"))
+                query_ids, q = np.frombuffer(row[0], np.int64), np.frombuffer(row[4], np.float64).reshape(-1, dim)
+                of, ids, far = stripe.nearest(query_ids, q, padded([row[4]]), books, k, rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[of]), pa.array(-far), pa.array(ids)], names=["query_id", "score", "vec_id"])
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(-1, dim) for c in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cosine(q, v)), batch.column(3)], names=["query_id", "score", "ids"])
-
-    exact = flat.join(entries, "entry").select("query_id", "q", "v", "ids").mapInArrow(scored, "query_id long, score double, ids array<bigint>")
-    spread = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    spread = in_arrow(cells, scanned, "query_id long, score double, vec_id long")
     order = F.expr("array_sort(collect_list(struct(-score as far, vec_id)))")
     top = spread.distinct().groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.far")).alias("score"))
 
 
+class _Stripe:
+    """Codes, original vectors and ids of the entries that a task holds."""
+
+    def __init__(self, ids: bytes, counts: bytes, off: bytes, codes: bytes, body: bytes, width: int, dim: int, kept_as: str):
+        self.ids, self.counts, self.off = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(off, np.float32)
+        self.codes = np.frombuffer(codes, np.uint8).reshape(-1, width).T.copy()
+        self.v = np.frombuffer(body, kept_as).reshape(-1, dim)
+        self.at = np.r_[0, np.cumsum(self.counts, dtype=np.int64)]  # where each entry's ids begin
+
+    def rows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, vectors) of all rows of some entries."""
+        n = self.counts[entries]
+        places = np.repeat(self.at[entries] - np.r_[0, np.cumsum(n, dtype=np.int64)[:-1]], n) + np.arange(n.sum())
+        return self.ids[places], np.repeat(self.v[entries].astype(np.float64), n, axis=0)
+
+    def nearest(self, query_ids: np.ndarray, q: np.ndarray, unit: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of queries, ids, cosines negated) of each query's k nearest rows, its own left out."""
+        near = Nearest(q, k, "angle", own=query_ids)
+        first, wide = self.ids[self.at[:-1]], []
+        for j, x in enumerate(unit):
+            s = scan(self.codes, tables(x, books))
+            sure = best(s, first, max(rerank, k + 1))
+            near.pairs(*self.rows(sure), j)
+            left = np.setdiff1d(np.flatnonzero(s + self.off >= -near.worst[j]), sure)
+            if len(left) * OPEN > len(s):
+                wide.append(j)
+                continue
+            for a in range(0, len(left), 4_096):
+                near.pairs(*self.rows(left[a : a + 4_096]), j)
+        of, ids, far = near.found()
+        if not wide:
+            return of, ids, far
+        rest = Nearest(q[wide], k, "angle", own=query_ids[wide])
+        for a in range(0, len(first), 8_192):
+            rest.add(*self.rows(np.arange(a, min(a + 8_192, len(first)))))
+        keep = ~np.isin(of, wide)
+        more = rest.found()
+        return np.r_[of[keep], np.array(wide)[more[0]]], np.r_[ids[keep], more[1]], np.r_[far[keep], more[2]]
+
+
 def op1_scann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of each query; see ``search`` for vectors that take no part, ties and repeated rows."""
     return search(table(spark, sf_dir, "embeddings"))
