@@ -7,10 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vector as V
+from ..functions.nearest import Nearest
 
 MAX_K = 100
 #: When an index is worth building, and its shape.
@@ -43,9 +46,9 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     """``top_k`` for a table of queries: query_id, rank, id, distance, score.
 
     The queries are a stated, bounded set (an error above ``most_queries``): they go to
-    every task packed in one row, so the rows are never shuffled, and are read once for every
-    ``BROADCAST_BYTES`` of queries. Each row's distances are reduced to k candidates per query
-    by partial aggregation before the exchange.
+    every task, and the rows are read once for every ``BROADCAST_BYTES`` of queries. A task
+    keeps k rows per query; a matrix product tells which rows may be among them, and only
+    their distances are computed in component order. Vectors that hold null take no part.
     """
     q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).cast("array<double>").alias("q_v")).where("q_v is not null")
     n, numbers = q.agg(F.count("*"), F.coalesce(F.sum(F.size("q_v")), F.lit(0))).first()
@@ -53,16 +56,49 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
         raise ValueError(f"{n} queries: run them in blocks of {most_queries}")
     blocks = max(1, -(-8 * numbers // BROADCAST_BYTES))
     of = [q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else q for b in range(blocks)]
-    return functools.reduce(DataFrame.union, [_batch(rows, x, k, metric, id_col, vector_col, query_id) for x in of])
-
-
-def _batch(rows: DataFrame, q: DataFrame, k: int, metric: str, id_col: str, vector_col: str, query_id: str) -> DataFrame:
-    packed = q.agg(F.collect_list(F.struct("q_id", "q_v")).alias("qs"))
-    v = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
-    pairs = v.join(F.broadcast(packed)).select("id", "v", F.explode("qs").alias("q")).where(F.size("q.q_v") == F.size("v"))
-    scored = pairs.select(F.col("q.q_id").alias(query_id), "id", V.distance("v", "q.q_v", metric).alias("distance"))
+    return functools.reduce(DataFrame.union, [_batch(rows, x, n, k, metric, id_col, vector_col, query_id) for x in of])
+
+
+#: From so many queries on, comparing rows outweighs dealing them to all cores.
+DEALT_FROM = 64
+
+
+def _batch(rows: DataFrame, q: DataFrame, n: int, k: int, metric: str, id_col: str, vector_col: str, query_id: str) -> DataFrame:
+    if metric not in V.METRICS:
+        raise ValueError(f"metric {metric!r} is none of {V.METRICS}")
+    spark = rows.sparkSession
+    asked = q.where(~F.exists("q_v", lambda x: x.isNull())).select("q_id", "q_v").toArrow().combine_chunks()
+    sizes = pc.list_value_length(asked["q_v"]).to_numpy()
+    by_size = {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        by_size[d] = at, pc.list_flatten(asked["q_v"].take(at)).to_numpy().reshape(len(at), d)
+    sent = spark.sparkContext.broadcast((asked["q_id"].combine_chunks(), by_size))
+    v = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    if n >= DEALT_FROM:
+        v = v.repartition(spark.sparkContext.defaultParallelism)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, by_size = sent.value
+        best = {d: Nearest(m, k, metric) for d, (_, m) in by_size.items()}
+        kind = None
+        for batch in batches:
+            kind, lengths = batch.column(0).type, pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for d, near in best.items():
+                at = np.flatnonzero(lengths == d)
+                if len(at):
+                    own = batch.take(at) if len(at) < len(lengths) else batch
+                    near.add(own.column(0).to_numpy(zero_copy_only=False), own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d))
+        for d, near in best.items():
+            of, ids, far = near.found()
+            for a in range(0, len(of), 50_000):
+                part = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(by_size[d][0][of[part]])), pa.array(ids[part], kind), pa.array(far[part])], names=["q_id", "id", "distance"])
+
+    schema = T.StructType([T.StructField("q_id", q.schema["q_id"].dataType), T.StructField("id", v.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    scored = v.mapInArrow(scan, schema).withColumnRenamed("q_id", query_id)
     w = Window.partitionBy(query_id).orderBy("distance", "id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # WindowGroupLimit: k rows a task and query
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(query_id, F.col("rank").cast("int").alias("rank"), "id", "distance", V.score(F.col("distance")).alias("score"))
 
 
