@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.nearest import Nearest
 from textloom.llm import ann
-from textloom.operators import fts, vector
+from textloom.operators import chunking, fts, vector
 
 
 def rows(df, *cols):
@@ -102,3 +102,15 @@ def test_nearest_by_blocks(monkeypatch):
         d = ((x - y)[:, 0] ** 2 + (x - y)[:, 1] ** 2) + (x - y)[:, 2] ** 2
         want = np.lexsort((ids, d))[:7]
         assert got[of == j].tolist() == ids[want].tolist() and far[of == j].tolist() == d[want].tolist()
+
+
+@pytest.mark.parametrize("step", [chunking.comment_rows, chunking.summarized, lambda f: chunking.chunked(f, "code-aware")])
+def test_files_reach_python_in_bounded_batches(spark, step):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    files = spark.createDataFrame([("a.py", 'def f(x):\n    """Says what it does, at length."""\n    return x\n'), ("b.py", None), ("c.js", "/** Adds one to a given number. */\nfunction g(x) {}\n"), ("d.md", "words")], "path string, text string")
+    found = rows(step(files), "path")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    assert len(found) >= 2
+    if step is chunking.comment_rows:
+        assert rows(step(files), "path", "start_line", "end_line", "chunk_name", "chunk_type") == [("[code-comment] a.py", 2, 2, "f", "docstring"), ("[code-comment] c.js", 1, 1, "g", "doc")]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import splitters, symbols
+from ..functions.batches import bounded_batches, give_back, in_arrow
 from ..functions.text import chunk_hash
 from .paths import language, language_of
 
@@ -18,6 +22,8 @@ def _udf(function, returns: str):
 
 
 def _pieces_of(path: pd.Series, text: pd.Series, strategy: pd.Series) -> pd.Series:
+    give_back()  # of the batch before
+
     def of(p, t, s):
         try:
             found = splitters.chunks(t or "", p or "", language_of(p or ""), s)
@@ -30,6 +36,7 @@ def _pieces_of(path: pd.Series, text: pd.Series, strategy: pd.Series) -> pd.Seri
 
 
 def _summary_of(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+    give_back()  # of the batch before
     rows = []
     for p, t in zip(path, text, strict=True):
         s = symbols.summarize(t or "", language_of(p or ""))
@@ -46,15 +53,16 @@ def _summary_of(path: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
-def _comments_of(path: pd.Series, text: pd.Series) -> pd.Series:
-    def of(p, t):
-        return [
-            {"text": c.text, "start_line": c.start_line, "end_line": c.end_line, "type": c.type, "symbol": c.symbol,
-             "tags": [dict(zip(("name", "value", "param", "param_type"), x, strict=True)) for x in c.tags], "index_text": symbols.comment_text(c)}
-            for c in symbols.comments(t or "", language_of(p or ""))
-        ]
-
-    return pd.Series([of(p, t) for p, t in zip(path, text, strict=True)])
+def _comments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, found = [], []
+        for p, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c in symbols.comments(t or "", language_of(p or "")):
+                paths.append(p)
+                found.append((c.text, c.start_line, c.end_line, c.type, c.symbol, symbols.comment_text(c)))
+        columns = list(zip(*found, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["of", "comment", "start_line", "end_line", "type", "symbol", "index_text"])
 
 
 def chunk_id(path: Column, start: Column, hash_: Column, ordinal: Column) -> Column:
@@ -64,6 +72,7 @@ def chunk_id(path: Column, start: Column, hash_: Column, ordinal: Column) -> Col
 
 def chunked(files: DataFrame, strategy: str = "character", path: str = "path", text: str = "text") -> DataFrame:
     """Chunk rows of (path, text) files, without vectors. Null and empty texts have none."""
+    bounded_batches(files.sparkSession)
     parts = files.select(F.col(path).alias("path"), F.sha2(text, 256).alias("content_hash"), language(path).alias("chunk_language"), F.posexplode(_udf(_pieces_of, schema.PIECES)(path, text, F.lit(strategy))).alias("ordinal", "c"))
     h = chunk_hash("c.text")
     return parts.select(
@@ -75,16 +84,18 @@ def chunked(files: DataFrame, strategy: str = "character", path: str = "path", t
 
 
 def summarized(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    bounded_batches(files.sparkSession)
     return files.select(F.col(path).alias("path"), language(path).alias("language"), _udf(_summary_of, schema.SUMMARY)(path, text).alias("s")).select("path", "language", "s.*")
 
 
 def comment_rows(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Rows for the documents' table: id comment:<path>:<line>:<hash>, path behind a marker."""
-    rows = files.select(F.col(path).alias("of"), F.explode(_udf(_comments_of, schema.COMMENTS)(path, text)).alias("c"))
-    h = F.substring(F.sha2("c.text", 256), 1, 8)
+    bounded_batches(files.sparkSession)
+    rows = in_arrow(files.select(path, text), _comments_of, "of string, comment string, start_line int, end_line int, type string, symbol string, index_text string")
+    h = F.substring(F.sha2("comment", 256), 1, 8)
     return rows.select(
-        F.concat_ws(":", F.lit("comment"), "of", F.col("c.start_line").cast("string"), h).alias("id"), F.concat(F.lit("[code-comment] "), "of").alias("path"),
-        F.col("c.index_text").alias("text"), F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.symbol").alias("chunk_name"), F.col("c.type").alias("chunk_type"), "of",
+        F.concat_ws(":", F.lit("comment"), "of", F.col("start_line").cast("string"), h).alias("id"), F.concat(F.lit("[code-comment] "), "of").alias("path"),
+        F.col("index_text").alias("text"), "start_line", "end_line", F.col("symbol").alias("chunk_name"), F.col("type").alias("chunk_type"), "of",
     )
 
 

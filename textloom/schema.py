@@ -13,6 +13,5 @@ SUMMARY = (
     "struct<functions:array<struct<name:string,start_line:int,end_line:int,complexity:int,nesting:int>>,classes:array<string>,imports:array<string>,"
     "exports:array<string>,total:int,code:int,blank:int,comment:int,decisions:int,cyclomatic:int,max_nesting:int,avg:double,score:int>"
 )
-COMMENTS = "array<struct<text:string,start_line:int,end_line:int,type:string,symbol:string,tags:array<struct<name:string,value:string,param:string,param_type:string>>,index_text:string>>"
 EVENTS = "path string, op string, seq long, ts timestamp"
 METADATA_VERSION = 1
