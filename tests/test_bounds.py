@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions.nearest import Nearest
 from textloom.llm import ann
 from textloom.operators import chunking, fts, vector
+from textloom.plans.engine import Config, Engine
 
 
 def rows(df, *cols):
@@ -114,3 +115,14 @@ def test_files_reach_python_in_bounded_batches(spark, step):
     assert len(found) >= 2
     if step is chunking.comment_rows:
         assert rows(step(files), "path", "start_line", "end_line", "chunk_name", "chunk_type") == [("[code-comment] a.py", 2, 2, "f", "docstring"), ("[code-comment] c.js", 1, 1, "g", "doc")]
+
+
+def test_an_engine_moves_no_postings(spark, tmp_path):
+    text = F.concat(F.lit("def f(x):\n    return "), F.repeat(F.concat(F.lit("word"), F.col("n").cast("string"), F.lit(" + ")), 20), F.lit("1\n"))
+    files = spark.range(60).toDF("n").select(F.concat(F.lit("f"), F.col("n").cast("string"), F.lit(".py")).alias("path"), text.alias("text")).withColumn("content_hash", F.sha2("text", 256))
+    engine = Engine(spark, f"file://{tmp_path}/engine", Config(extract_comments=False))
+    engine.build(files)
+    before = shuffled(spark)
+    engine._postings()
+    assert shuffled(spark) == before
+    assert rows(engine.search("word7", mode="fts"), "path") == [("f7.py",)]

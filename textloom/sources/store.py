@@ -73,7 +73,7 @@ class ChunkStore:
         """``rows`` become the whole of the ``touched`` buckets (None: of all)."""
         before = self._current() if self.exists() else {"buckets": {}, "gone": []}
         name = f"v-{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{name}")
         fs, p = self._fs(f"{self.root}/{name}")
         new = {f.getPath().getName().removeprefix("bucket="): name for f in fs.listStatus(p) if f.getPath().getName().startswith("bucket=")}
         kept = {} if touched is None else {b: v for b, v in before["buckets"].items() if int(b) not in touched}
